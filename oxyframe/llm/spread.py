@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +23,5 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def salted(df: DataFrame, n: int, *cols: str) -> DataFrame:
-    """Adds ``_salt`` in 0..n-1 from the columns named."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int"))
