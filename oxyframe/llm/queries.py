@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, near_dedup, pieces, pii, quality
+from . import decontaminate, exact_dedup, html_text, line_dedup, lm_score, near_dedup, pieces, pii, quality, secrets
 from .spread import table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -21,6 +21,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"), PIECES)
 
@@ -29,6 +33,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op4_sentencepiece, op5_html_extraction, op7_line_dedup, op8_pii, op9_near_dedup, op10_decontamination)}
+    found = (
+        op1_exact_dedup,
+        op2_quality_classifier,
+        op3_lm_scoring,
+        op4_sentencepiece,
+        op5_html_extraction,
+        op6_secret_scan,
+        op7_line_dedup,
+        op8_pii,
+        op9_near_dedup,
+        op10_decontamination,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
