@@ -98,14 +98,26 @@ class Index:
         count = self.begin[at + 1] - self.begin[at]
         first = np.repeat(self.begin[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         item = self.item[first]
-        diag = np.repeat(maybe, count) - self.pos[first] + int(self.size.max())
+        place, text_at = self.pos[first], np.repeat(maybe, count)
+        diag = text_at - place + int(self.size.max())
         step = self.budget[item] + 1
         band = diag // step
+        size = len(item)
         key = np.concatenate([(item << 40) | (band + 1), (item << 40) | band])
-        key, total = np.unique(key, return_counts=True)
-        item = key >> 40
-        enough = total >= self.bound[item]
-        item, band = item[enough], (key[enough] & ((1 << 40) - 1)) - 1
+        order = np.argsort(key, kind="stable")
+        key, hit_of = key[order], order % size
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if size else none
+        last = np.append(first[1:], len(key))
+        least = self.bound[key[first] >> 40]
+        enough = np.flatnonzero(last - first >= least)
+        # A q-gram counts once for each of its places in the item, and once for each in the text.
+        found = [
+            int(first[r])
+            for r in enough.tolist()
+            if min(len(np.unique(x[hit_of[first[r] : last[r]]])) for x in (place, text_at)) >= least[r]
+        ]
+        key = key[found]
+        item, band = key >> 40, (key & ((1 << 40) - 1)) - 1
         return item, band * (self.budget[item] + 1) - int(self.size.max())
 
 
