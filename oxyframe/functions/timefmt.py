@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-# Steps, in seconds, that an axis in each unit may take.
-STEPS = {
-    "secs": (1, 2, 5, 10, 15, 20, 30, 60, 120, 300, 600, 900, 1800, 3600),
-    "mins": (60, 120, 300, 600, 900, 1200, 1800, 3600, 7200, 14400, 21600, 43200),
-    "hours": (3600, 7200, 10800, 14400, 21600, 43200, 86400),
-    "days": (86400, 172800, 432000, 604800, 1209600, 2592000),
-}
+UNITS = {"secs": 1, "mins": 60, "hours": 3600, "days": 86400, "weeks": 604800}
+# Ranges in seconds up to which an axis counts in seconds, minutes, hours, days, and the steps it takes, in seconds.
+STEPS = (
+    (5 * 60, (1, 2, 5, 10, 15, 20, 30, 60, 120)),
+    (5 * 3600, (60, 120, 300, 600, 900, 1200, 1800, 3600, 7200)),
+    (5 * 86400, (900, 1800, 3600, 7200, 10800, 14400, 21600, 28800, 43200, 86400)),
+    (math.inf, (86400, 604800, 2419200)),
+)
 
 
 def format_hmmss(seconds: Sequence[float | None]) -> list[str | None]:
@@ -41,9 +42,8 @@ def hmmss_sql(x: str) -> str:
 
 
 def breaks_timespan(low: float, high: float, unit: str = "secs", n: int = 5) -> list[float]:
-    """Axis breaks from the step nearest to a n-th of the range; in units."""
-    per = {"secs": 1, "mins": 60, "hours": 3600, "days": 86400}[unit]
-    lo, hi = low * per, high * per
-    step = min(STEPS[unit], key=lambda s: abs(s - (hi - lo) / n))
-    first, last = math.floor(lo / step), math.ceil(hi / step)
-    return [k * step / per for k in range(first, last + 1)]
+    """Axis breaks, in seconds, over a range given in ``unit``: whole steps of the usual length nearest to an n-th of it."""
+    lo, hi = low * UNITS[unit], high * UNITS[unit]
+    steps = next(s for most, s in STEPS if hi - lo <= most)
+    step = min(steps, key=lambda s: abs(s - (hi - lo) / n))
+    return [float(k * step) for k in range(math.floor(lo / step), math.ceil(hi / step) + 1)]

@@ -101,7 +101,7 @@ def snapped(rate: float | None) -> float:
 def snapped_sql(rate: str) -> str:
     """SQL of the same."""
     listed = "array(" + ", ".join(f"{r!r}D" for r in map(float, RATES)) + ")"
-    return f"get(transform(array_sort(transform({listed}, (r, k) -> struct(abs(r - {rate}) as d, k as k, r as r))), s -> s.r), 0)"
+    return f"get(transform(array_sort(transform({listed}, (_rate_of, _rank_of) -> struct(abs(_rate_of - {rate}) as d, _rank_of as k, _rate_of as r))), _best_of -> _best_of.r), 0)"
 
 
 def halo(df: DataFrame, before: int, after: int, rows: int) -> DataFrame:
