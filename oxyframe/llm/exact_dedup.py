@@ -159,7 +159,8 @@ def exact_dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     """
     r = recipes(docs, id_bits).withColumn("recipe", F.struct(F.xxhash64("ids").alias("h"), "n_bytes", "ids", F.coalesce("versions", F.array().cast("array<int>")).alias("versions")))
     groups = r.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select(F.col("recipe").alias("g"), "keep_id", "group_size")
-    joined = r.join(groups, F.col("recipe") == F.col("g"))
+    # With the hash as a key beside the recipe the groups are dealt anew, and Spark may split a hot one.
+    joined = r.join(groups, (F.col("recipe") == F.col("g")) & (F.col("recipe.h") == F.col("g.h")))
     return joined.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", F.size("ids").alias("n_chunks"))
 
 
