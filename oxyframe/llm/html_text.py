@@ -40,7 +40,7 @@ SCOPE = frozenset("ul ol dl table article main section div body html".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar tooltip".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|sidebar|sidenav|breadcrumbs?|cookies?|consent|gdpr|notice|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|social|share|sharing|related|recommended|recommendations|comments?|commentlist|respond|replies|disqus|login|signup|pagination|pager|toolbar|"
+    r"newsletter|subscribe|subscription|social|share|sharing|widget|alert|related|recommended|recommendations|comments?|commentlist|respond|replies|disqus|login|signup|pagination|pager|toolbar|"
     r"footer|masthead|copyright|disclaimer|skip|hidden|outbrain|taboola)(?:$|[\s_-])|^(?:site|page|main|top|global)?[_-]?header$",
     re.IGNORECASE,
 )
@@ -57,16 +57,17 @@ class Lines(HTMLParser):
         self.kinds = [""]
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, bool, int]] = []  # text, tags, excluded, container
+        self.linked = 0
+        self.lines: list[tuple[str, int, bool, int, int]] = []  # text, tags, excluded, container, characters of links
 
     def flush(self):
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
                 _, out, box = self.stack[-1]
-                self.lines.append((line, self.tags, out, box))
+                self.lines.append((line, self.tags, out, box, min(self.linked, len(line))))
             self.text = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def _pop(self, k: int):
         del self.stack[k:]
@@ -126,6 +127,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         self.text.append(data)
+        if self.stack[-1][0] == "a":
+            self.linked += len(data.strip())
 
     def _inside_article(self, box: int) -> bool:
         while box > 0:
@@ -143,10 +146,10 @@ def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, k)[at] / np.convolve(np.ones(len(ratio)), k)[at]
 
 
-def _content(lines: list[tuple[str, int, bool, int]], sigma: float) -> np.ndarray:
+def _content(lines: list[tuple[str, int, bool, int, int]], sigma: float) -> np.ndarray:
     """Which lines belong to the clusters of text."""
-    size = np.array([0.0 if out else len(t) for t, _, out, _ in lines])
-    tags = np.array([n for _, n, _, _ in lines], float)
+    size = np.array([0.0 if out else len(t) for t, _, out, _, _ in lines])
+    tags = np.array([n for _, n, _, _, _ in lines], float)
     ratio = smooth(size / np.maximum(1.0, tags), sigma)
     return (ratio >= ratio.std()) & (size > 0)
 
@@ -158,13 +161,13 @@ def extract(html: str, sigma: float = SIGMA) -> str:
     p.close()
     p.flush()
     lines = p.lines
-    if not any(not out for _, _, out, _ in lines):
+    if not any(not out for _, _, out, _, _ in lines):
         return ""
     content = _content(lines, sigma)
     # Text of the clusters in each container and all those around it.
     mass = [0] * len(p.parents)
     whole = [0] * len(p.parents)
-    for (text, _, out, box), hit in zip(lines, content.tolist(), strict=True):
+    for (text, _, out, box, _), hit in zip(lines, content.tolist(), strict=True):
         while box >= 0 and not out:
             mass[box] += len(text) if hit else 0
             whole[box] += len(text)
@@ -178,13 +181,21 @@ def extract(html: str, sigma: float = SIGMA) -> str:
             if not inner:
                 break
             best = max(inner, key=weight.__getitem__)
+        # A title or note beside the text belongs to it; a container that adds links does not.
+        links = [0] * len(p.parents)
+        for _, _, out, box, n in lines:
+            while box >= 0 and not out:
+                links[box] += n
+                box = p.parents[box]
+        while (up := p.parents[best]) >= 0 and links[up] - links[best] <= 0.2 * (whole[up] - whole[best]):
+            best = up
         regions = [best]
     chosen = set(regions)
     # Containers are numbered outside in, so one pass marks all that lie inside.
     inside = [False] * len(p.parents)
     for k, up in enumerate(p.parents):
         inside[k] = k in chosen or up >= 0 and inside[up]
-    return "\n\n".join(t for t, _, out, box in lines if not out and inside[box])
+    return "\n\n".join(t for t, _, out, box, _ in lines if not out and inside[box])
 
 
 def _extracted(sigma: float):

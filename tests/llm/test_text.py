@@ -69,6 +69,8 @@ def test_pages_of_other_shapes(spark):
         f"<article>{text}<div class='cookie-notice'>We use cookies</div><div class=ad>Buy</div></article>",
     ):
         assert html_text.extract(page) == want
+    titled = f"<body><div class=links>{menu}</div><div id=wrap><h1>A title</h1><div class=body>{text}</div></div></body>"
+    assert html_text.extract(titled) == "A title\n\n" + want
     odd = [(1, "u", None), (2, None, ""), (3, "u", "plain words"), (None, "u", "<p>a<p>b"), (4, "u", "<article></article><nav>x</nav>"), (5, "u", "<p>&nbsp;&lt;tag&gt;  x<br>y")]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(odd, "page_id long, url string, html string")).collect()}
     assert got == {1: "", 2: "", 3: "plain words", None: "a\n\nb", 4: "", 5: "<tag> x y"}
