@@ -187,7 +187,7 @@ class SignalFrame:
         t = W.q(self.time_name(time_channel, "irregular_samples"))
         return self.df.selectExpr(
             SERIES, ROW, f"{t} as time",
-            f"count(*) OVER (PARTITION BY {SERIES}, {t}) > 1 as repeated",
+            f"count(*) OVER (PARTITION BY {SERIES} ORDER BY {t} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) > 1 as repeated",
             f"coalesce({t} - lag({t}) OVER (PARTITION BY {SERIES} ORDER BY {ROW}) < 0, false) as falls",
             f"coalesce({t} - lag({t}) OVER (PARTITION BY {SERIES} ORDER BY {ROW}) >= {gap!r}D, false) as gap",
         ).where("repeated or falls or gap")

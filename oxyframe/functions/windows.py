@@ -58,6 +58,11 @@ def whole(by: Sequence[str] = (SERIES,)) -> str:
     return f"(PARTITION BY {', '.join(map(q, by))})"
 
 
+def tied(time: str, by: Sequence[str] = (SERIES,)) -> str:
+    """Rows of the same time. Partitioned by series alone, so that it needs no exchange of its own."""
+    return f"(PARTITION BY {', '.join(map(q, by))} ORDER BY {q(time)} RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
+
+
 def past(*order: str, by: Sequence[str] = (SERIES,)) -> str:
     """From the first row to this one. For the rows after this one reverse the order: a frame that reaches forward without end costs the square."""
     return f"(PARTITION BY {', '.join(map(q, by))} ORDER BY {', '.join(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

@@ -106,7 +106,7 @@ def replace_outliers(sf: SignalFrame, channels: Any = None, time_channel: Any =
 
 def _tie_means(names: Sequence[str], time: str) -> dict[str, str]:
     """Mean of the values that share a time; null where all are null."""
-    return {f"_v{k}": f"avg({W.clean(c)}) OVER (PARTITION BY {SERIES}, {W.q(time)})" for k, c in enumerate(names)}
+    return {f"_v{k}": f"avg({W.clean(c)}) OVER {W.tied(time)}" for k, c in enumerate(names)}
 
 
 def interpolate(x0: str, x1: str, time: str, method: str) -> str:

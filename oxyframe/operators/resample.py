@@ -49,7 +49,7 @@ def resample(sf: SignalFrame, time_channel: Any = None, sample_rate: float | Non
 
     g = grid(sf, time, rate)
     points = g.selectExpr(SERIES, "_lo", "_n", "_count", "explode(sequence(0L, _n)) as _j").selectExpr(SERIES, "_j", f"_lo + _j * {1 / rate!r}D as {t}")
-    values = {f"_v{k}": f"avg({W.clean(c)}) OVER (PARTITION BY {SERIES}, {t})" for k, c in enumerate(numeric)}
+    values = {f"_v{k}": f"avg({W.clean(c)}) OVER {W.tied(time)}" for k, c in enumerate(numeric)}
     row = "named_struct('t', cast(" + t + " as double), 'i', " + ROW + "".join(f", 'c{k}', {W.q(c)}" for k, c in enumerate(others)) + ")"
     source = sf.df.where(f"{t} is not null").selectExpr(SERIES, ROW, "cast(null as bigint) as _j", f"cast({t} as double) as {t}", f"{row} as _row", *[f"{e} as {n}" for n, e in values.items()])
     union = source.unionByName(points.withColumn(ROW, F.lit(None).cast("long")), allowMissingColumns=True)
