@@ -7,6 +7,7 @@ skipped with ``checks=False``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from typing import Any
 
@@ -18,10 +19,26 @@ from .args import column_names
 from .errors import SignalError, inform, warn
 from .functions import windows as W
 from .meta import SignalMeta
+from .session import cut
 
 SERIES, ROW = W.SERIES, W.ROW
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Rows numbered from 0 in the order given, by ranges: no task holds them all.
+
+    The ranges are written before they are counted, as a repeated run may cut others.
+    What goes through the driver is one count a range.
+    """
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted(tuple(r) for r in ranged.groupBy(part.alias("p")).count().collect())
+    before = list(itertools.accumulate((n for _, n in counts), initial=0))
+    starts = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "_part long, _before long")
+    joined = ranged.join(F.broadcast(starts), part == F.col("_part"))
+    return joined.withColumn(ROW, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
 class SignalFrame:
     """Recordings and their metadata."""
 
@@ -32,11 +49,12 @@ class SignalFrame:
     # Construction
 
     @staticmethod
-    def from_df(df: DataFrame, time_channel: str | None = None, channels: Any = None, event_channel: str | None = None, series: str | Sequence[str] | None = None, order: str | Sequence[str | Column] | None = None, checks: bool = True, **meta: Any) -> SignalFrame:
+    def from_df(df: DataFrame, time_channel: str | None = None, channels: Any = None, event_channel: str | None = None, series: str | Sequence[str] | None = None, order: str | Sequence[str | Column] | None = None, checks: bool = True, parallel: bool = False, **meta: Any) -> SignalFrame:
         """A frame from any DataFrame.
 
         ``series`` names the key columns (joined with ``_``; kept); without it all rows
-        are one recording, ``interval_1``. Rows are in the order given, else by time.
+        are one recording, ``interval_1``. Rows are in the order given, else by time. One
+        recording too long for a task is numbered in ``parallel``.
         """
         if not df.columns:
             raise SignalError("data needs a column at least", "from_df")
@@ -46,7 +64,9 @@ class SignalFrame:
         if not by and ROW not in df.columns:
             by = [F.monotonically_increasing_id()]
         df = df.withColumn(SERIES, key)
-        if by:
+        if by and parallel and not keys:
+            df = numbered(df, by)
+        elif by:
             df = df.withColumn(ROW, (F.row_number().over(Window.partitionBy(SERIES).orderBy(*by)) - 1).cast("long"))
         return SignalFrame(df, SignalMeta().with_(time_channel=time_channel, channels=column_names(channels, df.columns), event_channel=event_channel, **meta), checks, lone=not keys)
 

@@ -90,9 +90,9 @@ def moving_average_trailing(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("SELECT event_id, round(avg(value) OVER (ORDER BY epoch_us(ts), event_id ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING), 6) + CAST(0 AS DOUBLE) AS ma FROM events")
 def moving_average_one_long_series(spark: SparkSession, d: str) -> DataFrame:
-    """A single recording, cut into chunks with overlap so that it is not one task."""
+    """A single recording, numbered by ranges and cut into chunks with overlap, so that no task holds it all."""
     e = table(spark, d, "events").selectExpr("event_id", f"{micros('ts')} as us", "value")
-    sf = SignalFrame.from_df(e, channels="value", order=["us", "event_id"], checks=False)
+    sf = SignalFrame.from_df(e, channels="value", order=["us", "event_id"], checks=False, parallel=True)
     return out(filters.moving_average(sf, width=101, partial=True, chunk_rows=2000).df, "event_id", "value as ma")
 
 
@@ -226,23 +226,28 @@ def resample_finer(spark: SparkSession, d: str) -> DataFrame:
 
 # Filters
 
-_B, _A = kernels.butterworth(2, 0.3)
 _N, _PAD = 64, 3
-_TOTAL = _N + 2 * _PAD + 2 * 3
-_H = kernels.recurse(_B, _A, np.eye(_TOTAL)[0])
 
 
-@_add(f"""WITH {E}, h AS (SELECT k, [{', '.join(repr(float(v)) + 'e0' if 'e' not in repr(float(v)) else repr(float(v)) for v in _H)}][k + 1] AS c FROM range({_TOTAL}) AS r(k)),
- p AS (SELECT vec_id, q.n AS n, x FROM e JOIN (SELECT n, CASE WHEN n < {_PAD} THEN {_PAD} - 1 - n WHEN n < {_PAD + _N} THEN n - {_PAD} ELSE {_N} - 1 - (n - {_PAD + _N}) END AS i FROM range({_N + 2 * _PAD}) AS r(n)) q ON e.i = q.i),
- f AS (SELECT p.vec_id, p.n + h.k AS n, sum(h.c * p.x) AS y FROM p, h WHERE p.n + h.k < {_TOTAL} GROUP BY ALL),
+def _both_ways(order: int, cutoff, kind: str, mirrored: bool) -> str:
+    """The recursion as a convolution with its impulse response, forward and backward, over padded ends."""
+    b, a = kernels.butterworth(order, cutoff, kind)
+    total = _N + 2 * _PAD + 2 * max(len(a), len(b))
+    h = ", ".join(f"{float(v):.17e}" for v in kernels.recurse(b, a, np.eye(total)[0]))
+    first, last = (f"{_PAD} - 1 - n", f"{_N} - 1 - (n - {_PAD + _N})") if mirrored else ("0", f"{_N - 1}")
+    return f"""WITH {E}, h AS (SELECT k, [{h}][k + 1] AS c FROM range({total}) AS r(k)),
+ p AS (SELECT vec_id, q.n AS n, x FROM e JOIN (SELECT n, CASE WHEN n < {_PAD} THEN {first} WHEN n < {_PAD + _N} THEN n - {_PAD} ELSE {last} END AS i FROM range({_N + 2 * _PAD}) AS r(n)) q ON e.i = q.i),
+ f AS (SELECT p.vec_id, p.n + h.k AS n, sum(h.c * p.x) AS y FROM p, h WHERE p.n + h.k < {total} GROUP BY ALL),
  b AS (SELECT f.vec_id, f.n - h.k AS n, sum(h.c * f.y) AS y FROM f, h WHERE f.n - h.k >= 0 GROUP BY ALL)
-SELECT vec_id, CAST(n - {_PAD} AS INTEGER) AS i, {_r('y', 'x')} FROM b WHERE n >= {_PAD} AND n < {_PAD + _N}""")
+SELECT vec_id, CAST(n - {_PAD} AS INTEGER) AS i, {_r('y', 'x')} FROM b WHERE n >= {_PAD} AND n < {_PAD + _N}"""
+
+
+@_add(_both_ways(2, 0.3, "low", True))
 def filter_butterworth(spark: SparkSession, d: str) -> DataFrame:
-    """In SQL the recursion is a convolution with its impulse response, both ways."""
     return out(vectors(spark, d).filter(method="butterworth", order=2, W_=0.3, verbose=False).df, "vec_id", "i", "x")
 
 
-@_add()
+@_add(_both_ways(2, (0.1, 0.4), "pass", False))
 def filter_butterworth_pass(spark: SparkSession, d: str) -> DataFrame:
     return out(vectors(spark, d).filter(method="butterworth", type="pass", fc=(0.5, 2.0), edges="rep1", verbose=False).df, "vec_id", "i", "x")
 

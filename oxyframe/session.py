@@ -1,4 +1,4 @@
-"""Making the package importable on the executors."""
+"""Making the package importable on the executors, and keeping state in shared storage."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,3 +28,18 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; only where none is named, a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
+    return named or "/tmp/checkpoints"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -42,6 +42,12 @@ def test_chunks_equal_the_whole(spark):
         near(filters.moving_average(vector(spark, x), width=width, partial=True, skip_null=True, chunk_rows=13).collect()["x"], whole)
 
 
+def test_rows_are_numbered_by_ranges(spark):
+    df = spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5000 as t", "cast(id as double) as x")
+    sf = SignalFrame.from_df(df, "t", "x", checks=False, parallel=True)
+    assert sf.df.where("t <> _i").count() == 0 and sf.df.count() == 5000
+
+
 @pytest.mark.parametrize(
     ("x", "kw", "want"),
     [
