@@ -1,25 +1,12 @@
-"""Keeping state in shared storage, and joins on keys that may be hot."""
+"""Reading tables, and keeping state in shared storage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import cut, shared_dir, ship
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; only where none is named, a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or "/tmp/checkpoints")
-    return named or "/tmp/checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
