@@ -156,6 +156,16 @@ def test_near_large_group(docs_of):
     assert [g for g in _found(near_dedup.near_dedup(docs_of(rows))) if len(g) > 1] == [group]
 
 
+def test_near_pairs_inside_a_template_family(docs_of):
+    """Pairs on one template: members of different pairs share buckets but are below the threshold."""
+    rows = []
+    for i in range(700):
+        pair = [f"p{i // 2}x{k}" for k in range(14)]
+        rows.append((i, " ".join([f"t{k}" for k in range(280)] + pair + [f"o{i}x{k}" for k in range(6)])))
+    got = _found(near_dedup.near_dedup(docs_of(rows)))
+    assert sorted(map(len, got)) == [2] * 350
+
+
 def test_near_odd_rows(docs_of):
     got = near_dedup.near_dedup(docs_of(ODD)).collect()
     assert len(got) == len(ODD)
