@@ -8,7 +8,9 @@ Everything is local to a row: no shuffle, and only texts with a digit or an @ ar
 searched.
 
 Edge cases: null and empty texts come back empty with nothing found. Values glued to
-letters or longer numbers are left alone. Null and repeated ids give a row each.
+letters or longer numbers are left alone. A card or IBAN followed by another short
+group is tried without it; its pseudonym then also depends on that group where else the
+two together would read as one number. Null and repeated ids give a row each.
 Other columns pass through; an empty table gives no rows.
 """
 
@@ -90,11 +92,47 @@ def _refill(shape: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+def _is_card(plain: str) -> bool:
+    return len(set(plain)) > 1 and luhn_digit(plain[:-1]) == plain[-1]
+
+
 def _iban_check(country: str, body: str) -> str:
     n = int("".join(str(int(c, 36)) for c in body + country + "00"))
     return f"{98 - n % 97:02d}"
 
 
+def _is_iban(plain: str) -> bool:
+    return _iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+# Lengths of the register of IBANs.
+IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _plain(value: str) -> str:
+    return re.sub(r"[^A-Za-z0-9]", "", value)
+
+
+def readings(kind: str, value: str) -> list[str]:
+    """The match, and for cards and IBANs its shorter beginnings that end with a group, longest first."""
+    if kind not in ("card", "iban"):
+        return [value]
+    out = [value]
+    for edge in reversed([m.start() for m in re.finditer("[ -]", value)]):
+        n = len(_plain(value[:edge]))
+        if n >= 13 if kind == "card" else n == IBAN_LENGTH.get(value[:2], max(n, 15)):
+            out.append(value[:edge])
+    return out
+
+
 class Pseudonyms:
     """Pseudonym of a validated value, or None where it isn't one."""
 
@@ -107,7 +145,7 @@ class Pseudonyms:
         x = self.f.walk(int(digits), 10**n, f"{tweak}{n}".encode(), lambda y: valid(f"{y:0{n}d}"), self.back)
         return f"{x:0{n}d}"
 
-    def _classes(self, text: str, tweak: str) -> str:
+    def _classes(self, text: str, tweak: str, valid=lambda s: True) -> str:
         """Permutes letters and digits within their own classes."""
         radix = [10 if c.isdigit() else 26 for c in text]
         zero = ["0" if c.isdigit() else "A" if c.isupper() else "a" for c in text]
@@ -117,12 +155,15 @@ class Pseudonyms:
         size = 1
         for r in radix:
             size *= r
-        x = self.f.permute(x, size, (tweak + "".join(zero)).encode(), self.back)
-        out = []
-        for r, z in zip(reversed(radix), reversed(zero), strict=True):
-            x, d = divmod(x, r)
-            out.append(chr(ord(z) + d))
-        return "".join(reversed(out))
+
+        def chars(x: int) -> str:
+            out = []
+            for r, z in zip(reversed(radix), reversed(zero), strict=True):
+                x, d = divmod(x, r)
+                out.append(chr(ord(z) + d))
+            return "".join(reversed(out))
+
+        return chars(self.f.walk(x, size, (tweak + "".join(zero)).encode(), lambda y: valid(chars(y)), self.back))
 
     def _date(self, y: str, m: str, d: str) -> tuple[int, int, int] | None:
         try:
@@ -136,19 +177,21 @@ class Pseudonyms:
         new = datetime.date.fromordinal(FIRST_DAY + self.f.walk(day, N_DAYS, b"date", lambda x: (datetime.date.fromordinal(FIRST_DAY + x).day > 12) == late, self.back))
         return new.year, new.month, new.day
 
-    def _of(self, kind: str, value: str) -> str | None:
-        plain = re.sub(r"[^A-Za-z0-9]", "", value)
+    def _of(self, kind: str, value: str, tails: tuple[str, ...] = ()) -> str | None:
+        """``tails`` follow the value in longer readings that failed; they fail after the pseudonym too."""
+        plain = _plain(value)
         if kind == "card":
-            if len(set(plain)) < 2 or luhn_digit(plain[:-1]) != plain[-1]:
+            if not _is_card(plain):
                 return None
-            body = plain[0] + self._digits(plain[1:-1], "card" + plain[0])
-            return _refill(value, body + luhn_digit(body))
+            card = lambda s: plain[0] + s + luhn_digit(plain[0] + s)
+            body = self._digits(plain[1:-1], "card" + plain[0], lambda s: not any(_is_card(card(s) + t) for t in tails))
+            return _refill(value, card(body))
         if kind == "iban":
-            country, check, body = plain[:2], plain[2:4], plain[4:]
-            if _iban_check(country, body) != check:
+            country, body = plain[:2], plain[4:]
+            if not _is_iban(plain):
                 return None
-            new = self._classes(body, "iban" + country)
-            return _refill(value, country + _iban_check(country, new) + new)
+            iban = lambda s: country + _iban_check(country, s) + s
+            return _refill(value, iban(self._classes(body, "iban" + country, lambda s: not any(_is_iban(iban(s) + t) for t in tails))))
         if kind == "ssn":
             ok = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
             return _refill(value, self._digits(plain, "ssn", ok)) if ok(plain) else None
@@ -196,7 +239,12 @@ def replace(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int
     at = 0
     while m := PATTERN.search(text, at):
         kind = next(k for k in ("email", "iban", "iso", "ssn", "date", "ip", "intl", "phone", "card") if m[k] is not None)
-        new = names.of(kind, m[0])
+        failed: list[str] = []
+        for value in readings(kind, m[0]):
+            new = names.of(kind, value, tuple(_plain(v[len(value) :]) for v in failed))
+            if new is not None:
+                break
+            failed.append(value)
         if new is None:
             # Not valid as this kind; another kind may begin a little further on.
             at = m.start() + 1
@@ -206,7 +254,7 @@ def replace(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int
         out.append(new)
         found.append((NAMES.get(kind, kind), size, len(new)))
         size += len(new)
-        at = end = m.end()
+        at = end = m.start() + len(value)
     return ("".join(out) + text[end:] if out else text), found
 
 

@@ -109,6 +109,17 @@ def test_pseudonyms(kind, value):
         assert pii.luhn_digit(plain[:-1]) == plain[-1]
 
 
+@pytest.mark.parametrize(
+    ("kind", "value", "rest"),
+    [("card", "4111 1111 1111 1111", " 123"), ("card", "4337-1665-9846-4399", " 7"), ("iban", "ES91 2100 0418 4502 0005 1332", " EUR"), ("iban", "ES9121000418450200051332", " PAID"), ("iban", "GB82 WEST 1234 5698 7654 32", " EUR")],
+)
+def test_pseudonyms_before_another_group(kind, value, rest):
+    for key in range(40):
+        text, found = pii.replace(f"to {value}{rest}, y", pii.Pseudonyms(bytes([key])))
+        assert found == [(kind, 3, len(value))] and value not in text and text.endswith(f"{rest}, y")
+        assert pii.replace(text, pii.Pseudonyms(bytes([key]), True))[0] == f"to {value}{rest}, y"
+
+
 def test_harmless_numbers_stay():
     fake = pii.Pseudonyms(b"k")
     for text in ("version 4.0.", "1234567890123456", "id a4337166598464399", "300.1.1.1", "2021-02-30", "000-12-3456", "3.14159", "x@y", "0641917ea4e9feb9cda83477b57ac2654884f485"):
