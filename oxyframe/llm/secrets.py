@@ -2,7 +2,8 @@
 
 Candidates, their features and the forest's votes are SQL expressions, so texts stay
 in the JVM and nothing is shuffled. A candidate is a word (or the value of a key)
-long enough and with letters, digits or a telling neighbour. Its features are its
+long enough and with letters, digits or a telling neighbour; a word that is no value as a
+whole gives each of its value-shaped runs. Its features are its
 length, shares of character classes, class transitions, distinct characters, share
 covered by dictionary words, shapes (hex, UUID, known prefixes, placeholders), path
 signs and neighbouring words. The forest is trained on labelled findings: by default
@@ -55,6 +56,10 @@ KINDS = {
     "google_api_key": r"^AIza[0-9A-Za-z_-]{35}$",
 }
 _WORD = r"""^["'(\[{<]*(?:([A-Za-z][A-Za-z0-9_.-]{0,40})["']?[=:]+["'(]*)?([A-Za-z0-9+/_.~!$%^&*=-]{8,}?)["')\]}>,;.:#$%&*!?|]*$"""
+# Values glued to other text, each with the key before it; secrets in the user part of a URL; mail addresses.
+_RUN = r"""(?:([A-Za-z][A-Za-z0-9_.-]{0,40})["']?[=:]+["'(]*)?([A-Za-z0-9+/_.~!$%^*-]{8,}+=*)"""
+_USER = r"://(?:[^/@:]*:)?([^/@]{8,})@"
+_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*"
 _ASKS = r"[0-9]|(?i:passw|pwd|secret|token|api.?key|auth|credential|bearer|private key)"
 
 FEATURES = (
@@ -102,9 +107,22 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     )
     one = begun.selectExpr("doc_id", "path", "line_no", "inline(found)")
     word = one.toDF("doc_id", "path", "line_no", "w", "p1", "p2", "p3", "n1", "word_no")
-    valued = word.withColumn("key", F.regexp_extract("w", _WORD, 1)).withColumn("v", F.regexp_extract("w", _WORD, 2)).selectExpr("doc_id", "path", "line_no", "word_no", "w", "v", "concat_ws(' ', p3, p2, p1, key) as before", "n1 as after")
+    runs = F.regexp_replace("w", _MAIL, " ")
+    split = (
+        word.withColumn("key", F.regexp_extract("w", _WORD, 1))
+        .withColumn("v", F.regexp_extract("w", _WORD, 2))
+        .withColumn("whole", F.expr("filter(array(named_struct('key', key, 'v', v, 'w', w)), z -> z.v <> '')"))
+        .withColumn("glued", F.when(F.expr("v = '' or v rlike '&[A-Za-z_]+='"), F.arrays_zip(F.regexp_extract_all(runs, F.lit(_RUN), F.lit(1)).alias("key"), F.regexp_extract_all(runs, F.lit(_RUN), F.lit(2)).alias("v"))))
+        .withColumn("user", F.regexp_extract("w", _USER, 1))
+        .selectExpr(
+            "doc_id", "path", "line_no", "word_no", "p1", "p2", "p3", "n1",
+            "inline(array_distinct(concat(whole, filter(array(named_struct('key', 'password', 'v', user, 'w', user)), z -> z.v <> ''),"
+            " transform(coalesce(glued, array()), z -> named_struct('key', z.key, 'v', z.v, 'w', z.v))))) as (key, v, w)",
+        )
+    )
+    valued = split.selectExpr("doc_id", "path", "line_no", "word_no", "w", "v", "concat_ws(' ', p3, p2, p1, key) as before", "n1 as after")
     telling = _sql("before rlike '{TELLING}'")
-    kept = valued.where(f"v rlike '[A-Za-z]' and ((length(v) >= {MIN_LENGTH} and v rlike '[0-9]') or (length(v) >= {MIN_KEYED} and {telling})) and not w rlike '[^@]@[A-Za-z0-9-]+[.]'")
+    kept = valued.where(f"v rlike '[A-Za-z]' and ((length(v) >= {MIN_LENGTH} and v rlike '[0-9]') or (length(v) >= {MIN_KEYED} and {telling}))")
     kind = F.when(F.lit(False), "")
     for name, pattern in KINDS.items():
         kind = kind.when(F.col("v").rlike(pattern), name)
