@@ -7,7 +7,9 @@ the ratio's standard deviation form the content clusters. The containers (articl
 main, else the one with most of the clusters' text) that hold clusters are the
 content regions, and every line of theirs is kept, but for those in elements that
 are never article text: navigation, page headers and footers, asides, forms,
-scripts, notices, adverts, reader comments and hidden ones.
+scripts, notices, adverts, reader comments and hidden ones. Anchors of headings,
+paragraphs and items, and compound names of these and of an article's sections, are
+not taken for such names.
 
 Edge cases: null html counts as empty; a page without text gives the empty string.
 Unclosed, crossed and cut-off tags are taken as browsers do in the common cases.
@@ -32,8 +34,10 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 NEVER = frozenset(
-    "head title script style noscript template iframe object canvas svg math nav aside footer form button select textarea option label fieldset dialog menu audio video map".split()
+    "head title script style noscript template iframe object canvas svg nav aside footer form button select textarea option fieldset dialog menu audio video map".split()
 )
+FIGURE = frozenset(("svg", "object"))  # text of an article's figures stays
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p span li".split())
 CONTAINER = frozenset(("article", "main", "section", "div", "body", "td"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table article main section div body html".split())
@@ -44,6 +48,7 @@ NAMES = re.compile(
     r"footer|masthead|copyright|disclaimer|skip|hidden|outbrain|taboola)(?:$|[\s_-])|^(?:site|page|main|top|global)?[_-]?header$",
     re.IGNORECASE,
 )
+WHOLE = re.compile(NAMES.pattern.replace(r"[\s_-]", r"\s"), re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -92,11 +97,11 @@ class Lines(HTMLParser):
             return
         _, out, box = self.stack[-1]
         if not out:
-            out = tag in NEVER or tag == "header" and not self._inside_article(box)
+            out = tag in NEVER and not (tag in FIGURE and self._inside_article(box)) or tag == "header" and not self._inside_article(box)
             if attrs and not out:
                 for name, value in attrs:
                     if name in ("class", "id"):
-                        out = bool(value and tag not in ("body", "html", "article", "main") and NAMES.search(value))
+                        out = bool(value and tag not in ("body", "html", "article", "main") and NAMES.search(value)) and not self._slug(tag, name, value, box)
                     elif name == "role":
                         out = (value or "").lower() in ROLES
                     elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -130,6 +135,12 @@ class Lines(HTMLParser):
         if self.stack[-1][0] == "a":
             self.linked += len(data.strip())
 
+    def _slug(self, tag: str, name: str, value: str, box: int) -> bool:
+        """Whether a name that NAMES finds is an anchor or a compound word of the text's own elements."""
+        if tag in PROSE:
+            return name == "id" or not WHOLE.search(value)
+        return tag == "section" and self._inside_article(box) and not WHOLE.search(value)
+
     def _inside_article(self, box: int) -> bool:
         while box > 0:
             if self.kinds[box] in ("article", "main"):

@@ -77,6 +77,13 @@ def test_pages_of_other_shapes(spark):
     assert got == {1: "", 2: "", 3: "plain words", None: "a\n\nb", 4: "", 5: "<tag> x y"}
 
 
+def test_anchors_and_figures_of_an_article_stay():
+    parts = ['<h2 id="related-work">Related work</h2>', '<h2 id="Social_structure">Social structure</h2>', '<section id="navigation-methods"><p>Methods text</p></section>', '<p class="share-price">Price text</p>', "<p>Let <math><mi>x</mi></math> be <label>marked</label></p>", "<svg><text>Figure text</text></svg>"]
+    got = html_text.extract("<body><article><p>" + "Long text of the article. " * 20 + "</p>" + "".join(parts) + '<section class="related"><p>Other pages</p></section><p class="share">Share this</p></article></body>')
+    assert all(t in got for t in ("Related work", "Social structure", "Methods text", "Price text", "Let x be marked", "Figure text"))
+    assert "Other pages" not in got and "Share this" not in got
+
+
 VALUES = [
     ("card", "4337166598464399"),
     ("card", "4337-1665-9846-4399"),
