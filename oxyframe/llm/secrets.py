@@ -1,25 +1,31 @@
 """Secret scan: native candidate search, and a random forest that removes false positives.
 
 Candidates, their features and the forest's votes are SQL expressions, so texts stay
-in the JVM and nothing is shuffled. A candidate is a word (or the value of a key)
-long enough and with letters, digits or a telling neighbour; a word that is no value as a
-whole gives each of its value-shaped runs. Its features are its
-length, shares of character classes, class transitions, distinct characters, share
-covered by dictionary words, shapes (hex, UUID, known prefixes, placeholders), path
-signs and neighbouring words. The forest is trained on labelled findings: by default
-lines made from rules with a fixed seed, or the caller's own. Training data are
-bounded by the caller's list; the fitted forest is a literal of the query.
+in the JVM and nothing is shuffled. A word (between blanks) is cut into runs of
+characters that values have; a run long enough, with a digit or a telling neighbour,
+is a candidate. Its features are its length, shares of character classes, class
+transitions, distinct characters, share covered by dictionary words, shapes (hex,
+UUID, known prefixes, placeholders), path signs, the signs at both its ends, the runs
+and words before and after it, and the document's path. The forest is trained on
+labelled findings: by default lines made from rules with a fixed seed, or the
+caller's own. Training data are bounded by the caller's list; the fitted forest is a
+literal of the query.
+
+Patterns repeat classes of single characters only, and possessively or up to a
+bound, so time and stack do not grow with the square or depth of a match: lines and
+words of any length are scanned whole, in time and memory linear in the line.
 
 Edge cases: null and empty texts have no candidates. Private-key headers are found
-without a vote. Lines of any length are scanned whole, in memory linear in the line.
-Null and repeated ids give their rows. Other columns are ignored; an empty table
-gives no rows.
+without a vote. "=" never belongs to a value, so a base64 value is found without its
+padding. Null and repeated ids give their rows. Other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
 import random
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -55,30 +61,34 @@ KINDS = {
     "stripe_key": r"^[rs]k_live_",
     "google_api_key": r"^AIza[0-9A-Za-z_-]{35}$",
 }
-_WORD = r"""^["'(\[{<]*(?:([A-Za-z][A-Za-z0-9_.-]{0,40})["']?[=:]+["'(]*)?([A-Za-z0-9+/_.~!$%^&*=-]{8,}?)["')\]}>,;.:#$%&*!?|]*$"""
-# Values glued to other text, each with the key before it; secrets in the user part of a URL; mail addresses.
-_RUN = r"""(?:([A-Za-z][A-Za-z0-9_.-]{0,40})["']?[=:]+["'(]*)?([A-Za-z0-9+/_.~!$%^*-]{8,}+=*)"""
-_USER = r"://(?:[^/@:]*:)?([^/@]{8,})@"
-_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*"
-_ASKS = r"[0-9]|(?i:passw|pwd|secret|token|api.?key|auth|credential|bearer|private key)"
+RUN = r"[A-Za-z0-9+/_.~!$%^*-]++"
+KEY_HEADER = r"-----BEGIN [A-Z0-9 ]{0,64}PRIVATE KEY"
+# A line without a digit and without these has no candidate.
+_HINTS = ("passw", "pwd", "secret", "token", "api", "access", "auth", "credential", "private", "bearer")
+_ASKS = "line rlike '[0-9]' or exists(array(lower(line)), x -> " + " or ".join(f"contains(x, '{h}')" for h in _HINTS) + ")"
 
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
     "length(v)",
-    "length(regexp_replace(v, '[^0-9]', '')) / length(v)",
-    "length(regexp_replace(v, '[^A-Z]', '')) / length(v)",
-    "length(regexp_replace(v, '[^a-z]', '')) / length(v)",
-    "length(regexp_replace(v, '[A-Za-z0-9]', '')) / length(v)",
-    "length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '[^A-Za-z0-9]', '#'), '[0-9]', '0'), '[A-Z]', 'U'), '[a-z]', 'l'), '(.)\\\\1+', '$1')) / length(v)",
+    f"1 - length(translate(v, '{_DIGITS}', '')) / length(v)",
+    f"1 - length(translate(v, '{_UPPER}', '')) / length(v)",
+    f"1 - length(translate(v, '{_LOWER}', '')) / length(v)",
+    f"length(translate(v, '{_DIGITS}{_UPPER}{_LOWER}', '')) / length(v)",
+    f"length(regexp_replace(translate(v, '+/_.~!$%^*-{_DIGITS}{_UPPER}{_LOWER}', '{'#' * 11}{'0' * 10}{'U' * 26}{'l' * 26}'), '(.)\\\\1++', '$1')) / length(v)",
     "size(array_distinct(split(v, ''))) / length(v)",
     "1 - length(regexp_replace(lower(v), '" + "|".join(DICTIONARY) + "', '')) / length(v)",
-    "length(regexp_replace(lower(v), '[^aeiou]', '')) / length(v)",
+    "1 - length(translate(v, 'aeiouAEIOU', '')) / length(v)",
     "int(v rlike '^[0-9a-fA-F]+$')",
     "int(v rlike '{UUID}')",
     "int(v rlike '{PREFIX}')",
     "int(v rlike '{PLACEHOLDER}')",
-    "int(w rlike '/|\\\\\\\\|[.](py|js|java|md|txt|html|json|xml|csv|png|jpg|so|jar|cfg|yml|yaml)[^A-Za-z]*$' or v rlike '^[0-9]+([.][0-9]+)+')",
-    "int(before rlike '{TELLING}')",
-    "int(before rlike '{BENIGN}' or after rlike '{BENIGN}')",
+    "int(v rlike '/|[.](py|js|java|md|txt|html|json|xml|csv|png|jpg|so|jar|cfg|yml|yaml)$' or v rlike '^[0-9]++[.][0-9]')",
+    "int(telling)",
+    "int(benign)",
+    "int(s0 rlike '[=:]')",
+    "int(s1 rlike '^[=:]')",
+    "int(s1 like '@%')",
+    "int(s0 like '%:' and a1 like '//%' and s1 like '@%')",
     "int(path rlike '(?i)(test|spec|example|fixture|mock|docs?)')",
 )
 
@@ -95,43 +105,46 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     ``path`` names a column with the document's path.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(_ASKS))
-    shifted = lines.withColumn("ws", F.split("line", "[ \\t\\r]")).selectExpr(
-        "doc_id", "path", "line_no", "ws",
-        "concat(array(''), ws) as p1", "concat(array('', ''), ws) as p2", "concat(array('', '', ''), ws) as p3", "concat(slice(ws, 2, size(ws)), array('')) as n1",
-    )
-    # Words with their neighbours beside them, so that a long line is not copied for each candidate.
-    begun = shifted.selectExpr(
+    tell = _sql("{TELLING}")
+    harm = _sql("{BENIGN}")
+    # Outer generators: for inner ones the optimizer would add a filter that evaluates their whole input again.
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where(_ASKS)
+    # Of a word's neighbours only flags go on, so that a long one is not copied for each candidate.
+    split = lines.selectExpr("doc_id", "path", "line_no", "split(line, '[ \\\\t\\\\r]') as ws", f"line rlike '{tell}' as asks")
+    flagged = split.selectExpr("doc_id", "path", "line_no", "ws", "asks", "transform(ws, (x, i) -> named_struct('w', x, 'i', i)) as words", f"if(asks, concat(array(false, false, false), transform(ws, x -> x rlike '{tell}')), array()) as t")
+    long = flagged.selectExpr("doc_id", "path", "line_no", "ws", "asks", "t", f"filter(words, z -> length(z.w) >= {MIN_KEYED} and ((asks and (t[z.i] or t[z.i + 1] or t[z.i + 2] or t[z.i + 3])) or z.w rlike '[0-9]')) as words")
+    begun = long.selectExpr(
         "doc_id", "path", "line_no",
-        f"filter(arrays_zip(ws, p1, p2, p3, n1, sequence(1, size(ws))), z -> length(z.ws) >= {MIN_KEYED} and (z.ws rlike '[0-9]' or concat_ws(' ', z.ws, z.p1, z.p2) rlike '{_sql('{TELLING}')}')) as found",
+        "transform(words, z -> named_struct('word_no', z.i + 1, 'w', z.w, 'tell', asks and (t[z.i] or t[z.i + 1] or t[z.i + 2]),"
+        f" 'harm', concat_ws(' ', get(ws, z.i - 3), get(ws, z.i - 2), get(ws, z.i - 1), get(ws, z.i + 1)) rlike '{harm}')) as found",
+    )
+    word = begun.selectExpr("doc_id", "path", "line_no", "inline_outer(found)").where("w is not null")
+    cut = word.withColumn("v", F.regexp_extract_all("w", F.lit(RUN), F.lit(0))).withColumn("s", F.split("w", RUN))
+    beside = cut.selectExpr(
+        "doc_id", "path", "line_no", "word_no", "tell", "harm", "v",
+        "concat(array(''), v) as a1", "concat(array('', ''), v) as a2", "concat(slice(v, 2, size(v)), array('')) as b1",
+        "transform(s, x -> right(x, 4)) as s0", "transform(slice(s, 2, size(s)), x -> left(x, 4)) as s1",
     )
-    one = begun.selectExpr("doc_id", "path", "line_no", "inline(found)")
-    word = one.toDF("doc_id", "path", "line_no", "w", "p1", "p2", "p3", "n1", "word_no")
-    runs = F.regexp_replace("w", _MAIL, " ")
-    split = (
-        word.withColumn("key", F.regexp_extract("w", _WORD, 1))
-        .withColumn("v", F.regexp_extract("w", _WORD, 2))
-        .withColumn("whole", F.expr("filter(array(named_struct('key', key, 'v', v, 'w', w)), z -> z.v <> '')"))
-        .withColumn("glued", F.when(F.expr("v = '' or v rlike '&[A-Za-z_]+='"), F.arrays_zip(F.regexp_extract_all(runs, F.lit(_RUN), F.lit(1)).alias("key"), F.regexp_extract_all(runs, F.lit(_RUN), F.lit(2)).alias("v"))))
-        .withColumn("user", F.regexp_extract("w", _USER, 1))
-        .selectExpr(
-            "doc_id", "path", "line_no", "word_no", "p1", "p2", "p3", "n1",
-            "inline(array_distinct(concat(whole, filter(array(named_struct('key', 'password', 'v', user, 'w', user)), z -> z.v <> ''),"
-            " transform(coalesce(glued, array()), z -> named_struct('key', z.key, 'v', z.v, 'w', z.v))))) as (key, v, w)",
-        )
+    runs = beside.selectExpr("doc_id", "path", "line_no", "word_no", "tell", "harm", f"filter(arrays_zip(v, a1, a2, b1, s0, s1), z -> length(z.v) >= {MIN_KEYED}) as zipped")
+    each = runs.selectExpr("doc_id", "path", "line_no", "word_no", "tell", "harm", "inline_outer(zipped)").where("v is not null")
+    valued = each.selectExpr(
+        "doc_id", "path", "line_no", "word_no", "v like '//%' and s0 like '%:' as host", "trim(BOTH '.!*~^' FROM if(v like '//%' and s0 like '%:', substring(v, 3), v)) as v", "a1", "b1", "s0", "s1",
+        f"tell or concat_ws(' ', a2, a1) rlike '{tell}' as telling", f"harm or concat_ws(' ', a2, a1, b1) rlike '{harm}' as benign", "concat_ws(' ', a2, a1) rlike '(?i)passw|pwd' as pass",
     )
-    valued = split.selectExpr("doc_id", "path", "line_no", "word_no", "w", "v", "concat_ws(' ', p3, p2, p1, key) as before", "n1 as after")
-    telling = _sql("before rlike '{TELLING}'")
-    kept = valued.where(f"v rlike '[A-Za-z]' and ((length(v) >= {MIN_LENGTH} and v rlike '[0-9]') or (length(v) >= {MIN_KEYED} and {telling}))")
+    # A name before "@" and a domain is a mail address, unless a URL has it or a neighbour tells.
+    kept = valued.where("not (s1 like '@%' and b1 like '%.%') or telling or host or (s0 like '%:' and a1 like '//%')").where(f"v rlike '[A-Za-z]' and ((length(v) >= {MIN_LENGTH} and v rlike '[0-9]') or (length(v) >= {MIN_KEYED} and telling))")
     kind = F.when(F.lit(False), "")
     for name, pattern in KINDS.items():
         kind = kind.when(F.col("v").rlike(pattern), name)
-    kind = kind.when(F.expr(_sql("before rlike '(?i)passw|pwd'")), "password").otherwise("token")
+    kind = kind.when(F.col("pass"), "password").otherwise("token")
     return kept.withColumn("kind", kind).selectExpr("doc_id", "line_no", "word_no", "kind", "v", "array(" + ", ".join(f"cast({_sql(f)} as double)" for f in FEATURES) + ") as f")
 
 
-def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, int]]:
-    """Lines with one candidate each, and whether it is a secret; made from rules."""
+def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int, str]]:
+    """Lines with one candidate each, whether it is a secret, and the path; made from rules.
+
+    A password or token found in tests, fixtures or examples is harmless, the same one elsewhere is not.
+    """
     rng = random.Random(seed)
     hexa, alnum, upper, b64 = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     some = lambda abc, a, b=None: "".join(rng.choice(abc) for _ in range(rng.randint(a, b or a)))
@@ -152,6 +165,9 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, int]]:
         lambda: "AIza" + some(alnum, 35),
         lambda: f"eyJ{some(alnum, 20)}.eyJ{some(alnum, 40)}.{some(alnum, 43)}",
         lambda: f"aws_secret_access_key = {some(b64, 39)}7",
+        lambda: f"{rng.choice(['postgres', 'mysql', 'amqp', 'https'])}://{word()}:{some(rng.choice((alnum, hexa)), 10, 24)}3@{word()}.{word()}/{word()}",
+        lambda: f"https://{word()}.io/{word()}?{rng.choice(['api_key', 'token', 'access_token'])}={some(rng.choice((alnum, hexa)), 16, 40)}5",
+        lambda: f'{{"{word()}":"{word()}","{rng.choice(["password", "secret", "token"])}":"{some(rng.choice((alnum, hexa)), 12, 32)}4"}}',
     ]
     harmless = [
         lambda: f"commit {some(hexa, 40)}",
@@ -173,12 +189,26 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, int]]:
         lambda: f"{rng.choice(DICTIONARY)}-{rng.choice(DICTIONARY)}-{some('0123456789', 4, 8)}",
         lambda: f"tokenizer {rng.choice(DICTIONARY)}_{rng.choice(DICTIONARY)}_{rng.randint(1, 64)}",
         lambda: some("aeiou" * 2 + "nrst", 14, 22) + rng.choice("0123456789"),
+        lambda: f"mail {word()}.{word()}{rng.randint(1950, 2010)}@mail.{word()}.com",
+        lambda: f"https://{word()}.org/{word()}/{word()}?id={some('0123456789', 4)}&page={word()}_{word()}{rng.randint(1, 99)}",
+        lambda: f"{word()}({rng.choice(DICTIONARY)}_{rng.choice(DICTIONARY)}_{rng.choice(DICTIONARY)}{rng.randint(1, 9)}=",
+        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}",
+        lambda: f"token_{rng.choice(DICTIONARY)} = {rng.choice(DICTIONARY)}.{rng.choice(DICTIONARY)}_{rng.choice(DICTIONARY)}",
+        lambda: f"#{some(hexa, 6)}-{some(hexa, 6)}-{rng.choice(DICTIONARY)}",
+        lambda: f"{rng.choice(['chr', 'isbn', 'doi', 'rs'])}{some('0123456789', 2)}-{some('0123456789', 4, 7)}-{some('0123456789', 2)}",
     ]
+    weak = secret[2:7]  # shapes that test data have too
+    folder = lambda names: "/".join([rng.choice(DICTIONARY), rng.choice(names), rng.choice(DICTIONARY) + rng.choice((".py", ".md", ".yml", ""))])
     out = []
     for i in range(n):
-        label = int(i % 2 == 0)
+        label, kind = int(i % 2 == 0), rng.random()
         core = rng.choice(secret if label else harmless)()
-        out.append((" ".join([word() for _ in range(rng.randint(0, 5))] + [core] + [word() for _ in range(rng.randint(0, 5))]), label))
+        path = "" if kind < 0.4 else folder(("src", "deploy", "lib", "config"))
+        if not label and kind > 0.75:
+            core, path = rng.choice(weak)(), folder(("tests", "fixtures", "examples", "docs"))
+        if rng.random() < 0.15:
+            core = rng.choice(('f("{}")', "({}),", "a,b,{};", "[{}]", "<{}>", "'{}':")).format(core)
+        out.append((" ".join([word() for _ in range(rng.randint(0, 5))] + [core] + [word() for _ in range(rng.randint(0, 5))]), label, path))
     return out
 
 
@@ -224,34 +254,50 @@ def vote(forest, depth: int = DEPTH) -> str:
     return f"aggregate(transform(array({trees}), t -> t.leaf[{walk} - {2**depth}]), 0D, (a, x) -> a + x) / {len(forest)}"
 
 
-def train(spark: SparkSession, findings: list[tuple[str, int]] | None = None):
-    """The forest from labelled lines; their features come from the same expressions as those of documents."""
-    findings = labelled_findings() if findings is None else findings
-    body = json.dumps([{"doc_id": i, "text": t} for i, (t, _) in enumerate(findings)])
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(body), "array<struct<doc_id:long,text:string>>")))
-    rows = candidates(table).select("doc_id", "word_no", "f").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["word_no"]))
+@lru_cache(1)
+def _findings() -> list[tuple[str, int, str]]:
+    return labelled_findings()
+
+
+def train(spark: SparkSession, findings: list[tuple] | None = None):
+    """The forest from labelled lines (line, label, path where known); their features come from the same expressions as those of documents."""
+    findings = _findings() if findings is None else findings
+    body = json.dumps([{"doc_id": i, "text": f[0], "path": f[2] if len(f) > 2 else ""} for i, f in enumerate(findings)])
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(body), "array<struct<doc_id:long,text:string,path:string>>")))
+    rows = candidates(table, "path").select("doc_id", "word_no", "v", "f").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["word_no"], r["v"]))
     x = np.array([list(r["f"]) for r in rows])
     y = np.array([findings[r["doc_id"]][1] for r in rows], float)
     return grow(x, y)
 
 
+_trained: dict[str, list] = {}
+
+
+def default_forest(spark: SparkSession):
+    """The forest of the default findings, trained once a driver process; it depends on nothing else."""
+    if "forest" not in _trained:
+        _trained["forest"] = train(spark)
+    return _trained["forest"]
+
+
 def scan(docs: DataFrame, forest=None, path: str | None = None, keep_from: float = 0.5) -> DataFrame:
     """doc_id, line_no, word_no (from 0 and from 1), kind, length, value_sha256, score, is_secret of each candidate.
 
     The value itself is not returned.
     """
     spark = docs.sparkSession
-    forest = train(spark) if forest is None else forest
+    forest = default_forest(spark) if forest is None else forest
     voted = candidates(docs, path).withColumn("score", F.expr(vote(forest)))
     found = voted.selectExpr("doc_id", "line_no", "word_no", "kind", "length(v) as length", "sha2(v, 256) as value_sha256", "score", f"score >= {keep_from} as is_secret")
     keys = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .where(F.col("line").contains("-----BEGIN ") & F.col("line").rlike("-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+        .where(F.col("line").contains("-----BEGIN ") & F.col("line").rlike(KEY_HEADER))
         .selectExpr("doc_id", "line_no", "0 as word_no", "'private_key' as kind", "length(line) as length", "sha2(line, 256) as value_sha256", "1D as score", "true as is_secret")
     )
     return found.unionByName(keys)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return scan(docs)
+    """The scan of a table that has no paths; a document's source stands for one."""
+    return scan(docs, path="source")
