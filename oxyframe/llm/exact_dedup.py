@@ -4,13 +4,13 @@ Each text is lower-cased (A-Z only) and cut where a rolling hash of its last byt
 says so. Chunks get 64-bit identifiers, which are verified once: the bodies that
 share an identifier meet in one pre-aggregated shuffle, each body once a partition,
 and must be the same bytes. Where they are not, the identifier gets a version for
-each body. Documents are then compared by their ordered identifier lists alone; a
+each body. Recipes are written once to the shared folder and read from there. Documents are then compared by their ordered identifier lists alone; a
 long text is never shuffled as a whole and a chunk moves at most once a partition.
 
 Edge cases: null counts as the empty text, so null and empty texts are equal. The
 empty text has no chunks and an empty recipe. A null ``doc_id`` is a row like any
-other, smaller than every number. Rows repeated with the same ``doc_id`` are all
-kept or all dropped. Other columns are ignored, an empty table gives no rows.
+other, smaller than every number. Of rows that repeat both ``doc_id`` and text one is
+kept. Other columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from . import spread
 
 WINDOW = 32
 CUT_BITS = 11
@@ -158,15 +159,17 @@ def exact_dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     before the shuffle; the join back is one that Spark splits where a group is hot.
     """
     r = recipes(docs, id_bits).withColumn("recipe", F.struct(F.xxhash64("ids").alias("h"), "n_bytes", "ids", F.coalesce("versions", F.array().cast("array<int>")).alias("versions")))
-    groups = r.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select(F.col("recipe").alias("g"), "keep_id", "group_size")
+    # Written before they are read twice, so the numbers that tell equal rows apart stay the same.
+    r = spread.cut(r.select("doc_id", "text_sha256", "recipe", F.monotonically_increasing_id().alias("row")))
+    groups = r.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size")).select(F.col("recipe").alias("g"), "top", "group_size")
     # With the hash as a key beside the recipe the groups are dealt anew, and Spark may split a hot one.
     joined = r.join(groups, (F.col("recipe") == F.col("g")) & (F.col("recipe.h") == F.col("g.h")))
-    return joined.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", F.size("ids").alias("n_chunks"))
+    return joined.select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256", F.size("recipe.ids").alias("n_chunks"))
 
 
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 WINDOW g AS (PARTITION BY t)
 """

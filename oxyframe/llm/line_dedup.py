@@ -171,7 +171,9 @@ def _apply(text_at: int, names: list[str]):
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with repeated lines dropped from ``text``, and ``_n_lines``, ``_n_dropped``."""
     maps = keep_bitmaps(docs, min_chars, min_docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("row_key", "bitmap")).alias("_maps"))
-    joined = docs.join(maps.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    one, two = spread.apart()
+    keyed = docs.withColumns({"_one": one, "_two": two})
+    joined = keyed.join(maps.withColumn("_zero", F.lit(0).cast("long")).hint("shuffle_hash"), (F.col("_one") == F.col("_doc")) & (F.col("_two") == F.col("_zero")), "left").drop("_doc", "_one", "_two", "_zero")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     return joined.mapInArrow(_apply(docs.columns.index("text"), schema.fieldNames()), schema)
 

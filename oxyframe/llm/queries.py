@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_bytes
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,7 +11,8 @@ from . import decontaminate, exact_dedup, html_text, line_dedup, lm_score, near_
 from .spread import table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-PII_KEY = b"a key of the deployment replaces this one"
+PII_KEY = "spark.oxyframe.pii.key"
+_session_keys: dict[str, bytes] = {}
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +43,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key that the setting PII_KEY names; without one, a random key of this application.
+
+    Pseudonyms are equal across applications, and can be reversed, only with a key set.
+    """
+    named = spark.conf.get(PII_KEY, None)
+    return named.encode() if named else _session_keys.setdefault(spark.sparkContext.applicationId, token_bytes(32))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.report(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir, ship
 
-__all__ = ["cut", "shared_dir", "table"]
+__all__ = ["apart", "cut", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def apart(doc_id: str = "doc_id") -> tuple[Column, Column]:
+    """Two join keys of a document: its id and 0, or where that is null a number of the row's own.
+
+    Rows without an id match nothing and are dealt over all tasks.
+    """
+    doc = F.col(doc_id).cast("long")
+    return F.coalesce(doc, F.lit(0)), F.when(doc.isNull(), F.monotonically_increasing_id() + 1).otherwise(0)
