@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,3 +338,43 @@ def test_decontamination_against_brute_force(spark, docs_of):
     odd = docs_of([(1, None), (2, ""), (None, items[0]), (3, items[0]), (3, items[0])])
     assert sorted(str(r.doc_id) for r in decontaminate.find(odd, bench).collect()) == ["3", "3", "None"]
     assert decontaminate.find(docs_of([]), bench).count() == 0 and decontaminate.find(odd, bench.limit(0)).count() == 0
+
+
+def _norm(text):
+    return re.sub("[ \t-\r]+", " ", text.translate({c: c + 32 for c in range(65, 91)}))
+
+
+def test_decontamination_of_short_wide_and_repetitive_items(spark, docs_of):
+    rng = random.Random(12)
+    words = [*"abcdefghijkl", *"абвгдежзий", "é", "☃", "-", "=="]
+    some = lambda n: "".join(rng.choice(words) for _ in range(n))
+    items = [some(n)[:n] for n in (1, 2, 5, 7, 8, 9, 10, 11, 15, 19, 20, 22, 25, 29, 30, 31, 35, 39, 40, 44, 54, 60) for _ in range(2)]
+    items += ["-" * 30, "-" * 45, "=-" * 12, "ab" * 11 + "жж", items[30], "same question of a set " + some(12), *("same question of a set " + some(9) for _ in range(40))]
+    rows = []
+    for i in range(120):
+        item = rng.choice(items[2:])
+        text = _changed(rng, item, rng.randint(0, len(item) // 8 + 1))
+        rows.append((i, some(rng.randint(0, 40)) + "|" + (text.upper() if i % 5 == 0 else text) + "|" + some(rng.randint(0, 40))))
+    rows += [(500, "-" * 300), (501, "-" * 28), (502, "=-" * 200), (503, "ж" * 90), (504, "")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(d, k) for d, t in rows for k, item in enumerate(items) if _edits(" ".join(_norm(item).split(" ")), _norm(t)) <= len(item) // 10}
+    for size in (decontaminate.BLOCK_BYTES, 100):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.find(docs_of(rows), bench, block_bytes=size).collect()}
+        assert set(got) == want and len(want) > 150
+    text = dict(rows)
+    for (d, k), r in got.items():
+        passage = text[d].encode()[r.start : r.start + r.length].decode()
+        assert _edits(_norm(passage), _norm(items[k])) <= r.edits or _edits(_norm(items[k]), _norm(passage)) <= r.edits
+
+
+def test_repeated_grams_take_bounded_memory():
+    """Neither time nor memory grow with places of the item times places of the text."""
+    sign = decontaminate.Block([1, 2], ["-" * 400, "-" * 200 + "ab" * 100])
+    data = np.frombuffer(b"-" * 400_000 + b"x" + b"-a" * 100_000, "u1")
+    off = np.array([0, len(data)])
+    tracemalloc.start()
+    begun = time.monotonic()
+    got = decontaminate.matches(sign, data, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[:3] for r in got] == [(0, 0, 0)] and peak < 400 << 20 and time.monotonic() - begun < 20
