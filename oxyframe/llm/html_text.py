@@ -3,13 +3,21 @@
 The standard library's parser streams events; no tree is built. Text between block
 tags makes a line with its characters, its tags and the container it stands in.
 The ratio of characters to tags per line is smoothed by a Gaussian; lines at or above
-the ratio's standard deviation form the content clusters. The containers (article,
-main, else the one with most of the clusters' text) that hold clusters are the
-content regions, and every line of theirs is kept, but for those in elements that
-are never article text: navigation, page headers and footers, asides, forms,
-scripts, notices, adverts, reader comments and hidden ones. Anchors of headings,
-paragraphs and items, and compound names of these and of an article's sections, are
-not taken for such names.
+the ratio's standard deviation form the content clusters, which choose the content
+region: the innermost container that holds most of the clusters' text, widened by
+what stands beside it without being a list of links. Tags are features of this
+choice: clusters inside an article or main element weigh more, and a region does not
+end inside such an element nor, but for a main element, reach out of it. Where several
+articles share the clusters, those with clusters are the regions. A page without a
+cluster has no content.
+
+Every line of a region is kept, but for those in elements that are never article
+text: navigation, page headers and footers, asides, forms, scripts, notices, adverts,
+reader comments and hidden ones. These count as lines without text in the ratios.
+Anchors of headings, paragraphs and items, and compound names of these and of an
+article's sections, are not taken for such names.
+
+Time is linear in the page, however deep its elements are nested.
 
 Edge cases: null html counts as empty; a page without text gives the empty string.
 Unclosed, crossed and cut-off tags are taken as browsers do in the common cases.
@@ -28,6 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 2.0
+MOST = 0.8  # of the clusters' text, what a region holds
+INSIDE = 3  # weight of clusters inside an article or main element
+LINKS = 0.2  # share of links from which text beside a region is a list of links
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -58,38 +69,49 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, excluded, container
+        self.open: dict[str, list[int]] = {}  # places in the stack of each open tag
+        self.scopes = [0]  # places of those that others do not close
         self.parents = [-1]
         self.kinds = [""]
+        self.inside = [False]  # whether a container is, or lies in, an article or main element
         self.text: list[str] = []
+        self.left_out = False  # whether the line had text of excluded elements
+        self.box = 0
         self.tags = 0
         self.linked = 0
         self.lines: list[tuple[str, int, bool, int, int]] = []  # text, tags, excluded, container, characters of links
 
     def flush(self):
-        if self.text:
-            line = " ".join("".join(self.text).split())
-            if line:
-                _, out, box = self.stack[-1]
-                self.lines.append((line, self.tags, out, box, min(self.linked, len(line))))
-            self.text = []
+        line = " ".join("".join(self.text).split())
+        if line:
+            self.lines.append((line, self.tags, False, self.box, min(self.linked, len(line))))
+        elif self.left_out:
+            self.lines.append(("", self.tags, True, self.box, 0))
+        self.text.clear()
+        self.left_out = False
         self.tags = self.linked = 0
 
     def _pop(self, k: int):
-        del self.stack[k:]
+        while len(self.stack) > k:
+            name = self.stack.pop()[0]
+            self.open[name].pop()
+            if self.scopes[-1] >= len(self.stack):
+                self.scopes.pop()
+
+    def _last(self, names) -> int:
+        """Place of the innermost of these tags that no scope shields, or 0."""
+        k = max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+        return k if k > self.scopes[-1] else 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
             # A block ends an open paragraph; an item ends the item before it.
-            ends = CLOSES.get(tag, ())
-            for k in range(len(self.stack) - 1, 0, -1):
-                name = self.stack[k][0]
-                if name == "p" or name in ends:
-                    self._pop(k)
-                    if name in ends or not ends:
-                        break
-                elif name in SCOPE:
-                    break
+            ends = self._last(CLOSES.get(tag, ()))
+            if (p := self._last(("p",))) > ends:
+                self._pop(p)
+            if ends:
+                self._pop(ends)
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
@@ -97,7 +119,7 @@ class Lines(HTMLParser):
             return
         _, out, box = self.stack[-1]
         if not out:
-            out = tag in NEVER and not (tag in FIGURE and self._inside_article(box)) or tag == "header" and not self._inside_article(box)
+            out = tag in NEVER and not (tag in FIGURE and self.inside[box]) or tag == "header" and not self.inside[box]
             if attrs and not out:
                 for name, value in attrs:
                     if name in ("class", "id"):
@@ -113,9 +135,32 @@ class Lines(HTMLParser):
         if tag in CONTAINER or dict(attrs).get("role") == "main":
             self.parents.append(box)
             self.kinds.append("main" if dict(attrs).get("role") == "main" else tag)
+            self.inside.append(self.inside[box] or self.kinds[-1] in ("article", "main"))
             box = len(self.parents) - 1
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
         self.stack.append((tag, out, box))
 
+    def _whole(self, end: int) -> int:
+        """Markup that the page does not end reaches to the end of the page, as in browsers."""
+        return len(self.rawdata) if end < 0 else end
+
+    def parse_starttag(self, i):
+        return self._whole(super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self._whole(super().parse_endtag(i))
+
+    def parse_comment(self, i, report=1):
+        return self._whole(super().parse_comment(i, report))
+
+    def parse_html_declaration(self, i):
+        return self._whole(super().parse_html_declaration(i))
+
+    def parse_pi(self, i):
+        return self._whole(super().parse_pi(i))
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
@@ -123,30 +168,24 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
         self.tags += 1
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                self._pop(k)
-                return
-            if self.stack[k][0] in SCOPE and tag not in BLOCK:
-                return
+        places = self.open.get(tag)
+        if places and (tag in BLOCK or places[-1] > self.scopes[-1]):
+            self._pop(places[-1])
 
     def handle_data(self, data):
+        name, out, self.box = self.stack[-1]
+        if out:
+            self.left_out = True
+            return
         self.text.append(data)
-        if self.stack[-1][0] == "a":
+        if name == "a":
             self.linked += len(data.strip())
 
     def _slug(self, tag: str, name: str, value: str, box: int) -> bool:
         """Whether a name that NAMES finds is an anchor or a compound word of the text's own elements."""
         if tag in PROSE:
             return name == "id" or not WHOLE.search(value)
-        return tag == "section" and self._inside_article(box) and not WHOLE.search(value)
-
-    def _inside_article(self, box: int) -> bool:
-        while box > 0:
-            if self.kinds[box] in ("article", "main"):
-                return True
-            box = self.parents[box]
-        return False
+        return tag == "section" and self.inside[box] and not WHOLE.search(value)
 
 
 def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -165,48 +204,62 @@ def _content(lines: list[tuple[str, int, bool, int, int]], sigma: float) -> np.n
     return (ratio >= ratio.std()) & (size > 0)
 
 
+def regions(p: Lines, content: np.ndarray) -> list[int]:
+    """Containers that hold the clusters."""
+    n = len(p.parents)
+    mass, whole, links = [0] * n, [0] * n, [0] * n
+    for (text, _, out, box, linked), hit in zip(p.lines, content.tolist(), strict=True):
+        if not out:
+            mass[box] += len(text) * (INSIDE if p.inside[box] else 1) if hit else 0
+            whole[box] += len(text)
+            links[box] += linked
+    inner: list[list[int]] = [[] for _ in range(n)]
+    # Containers are numbered outside in, so each one's sum is whole before it is added to the one around it.
+    for k in range(n - 1, 0, -1):
+        up = p.parents[k]
+        inner[up].append(k)
+        mass[up] += mass[k]
+        whole[up] += whole[k]
+        links[up] += links[k]
+    if not mass[0]:
+        return []
+    best = 0
+    while some := [k for k in inner[best] if mass[k] >= MOST * mass[0]]:
+        best = max(some, key=mass.__getitem__)
+    named = ("article", "main")
+    if p.inside[best]:
+        while p.kinds[best] not in named:
+            best = p.parents[best]
+    else:
+        # Several articles: the outermost ones with clusters, if these hold most of the text.
+        outer = [k for k in range(n) if p.kinds[k] in named and mass[k] and not p.inside[p.parents[k]] and _within(p, k, best)]
+        if sum(mass[k] for k in outer) >= MOST * mass[best]:
+            return outer
+    # A title or note beside the text belongs to it; a container that adds links does not.
+    while (up := p.parents[best]) >= 0 and (p.inside[up] or not p.inside[best]) and links[up] - links[best] <= LINKS * (whole[up] - whole[best]):
+        best = up
+    return [best]
+
+
+def _within(p: Lines, k: int, outer: int) -> bool:
+    while k > outer:
+        k = p.parents[k]
+    return k == outer
+
+
 def extract(html: str, sigma: float = SIGMA) -> str:
     """The main text of a page; blocks are joined by an empty line."""
     p = Lines()
     p.feed(html)
     p.close()
     p.flush()
-    lines = p.lines
-    if not any(not out for _, _, out, _, _ in lines):
+    if not p.lines:
         return ""
-    content = _content(lines, sigma)
-    # Text of the clusters in each container and all those around it.
-    mass = [0] * len(p.parents)
-    whole = [0] * len(p.parents)
-    for (text, _, out, box, _), hit in zip(lines, content.tolist(), strict=True):
-        while box >= 0 and not out:
-            mass[box] += len(text) if hit else 0
-            whole[box] += len(text)
-            box = p.parents[box]
-    regions = [k for k, kind in enumerate(p.kinds) if kind in ("article", "main") and mass[k]] or [k for k, kind in enumerate(p.kinds) if kind in ("article", "main") and whole[k]]
-    if not regions:
-        weight = mass if mass[0] else whole
-        best = 0
-        while True:
-            inner = [k for k, up in enumerate(p.parents) if up == best and weight[k] >= 0.8 * weight[0]]
-            if not inner:
-                break
-            best = max(inner, key=weight.__getitem__)
-        # A title or note beside the text belongs to it; a container that adds links does not.
-        links = [0] * len(p.parents)
-        for _, _, out, box, n in lines:
-            while box >= 0 and not out:
-                links[box] += n
-                box = p.parents[box]
-        while (up := p.parents[best]) >= 0 and links[up] - links[best] <= 0.2 * (whole[up] - whole[best]):
-            best = up
-        regions = [best]
-    chosen = set(regions)
-    # Containers are numbered outside in, so one pass marks all that lie inside.
+    chosen = set(regions(p, _content(p.lines, sigma)))
     inside = [False] * len(p.parents)
     for k, up in enumerate(p.parents):
         inside[k] = k in chosen or up >= 0 and inside[up]
-    return "\n\n".join(t for t, _, out, box, _ in lines if not out and inside[box])
+    return "\n\n".join(t for t, _, out, box, _ in p.lines if not out and inside[box])
 
 
 def _extracted(sigma: float):

@@ -88,6 +88,40 @@ def test_anchors_and_figures_of_an_article_stay():
     assert "Other pages" not in got and "Share this" not in got
 
 
+PLAIN = (
+    "<div>" + "".join(f"<div><a href='/{i}'>Link number {i} of a long list</a> <a href='/x{i}'>more of it</a></div>" for i in range(40)) + "</div>"
+    "<div><h2>A heading</h2>" + "".join(f"<p>Paragraph {i} of the text says a good many things, one after the other, so that it is long enough to stand out.</p>" for i in range(5)) + "<p>Short.</p></div>"
+    "<div>" + "".join(f"<div><a href='/z{i}'>Other page {i}</a></div>" for i in range(40)) + "</div>"
+)
+
+
+def test_clusters_choose_the_content(monkeypatch):
+    """Without article, main or telling names, and with most of the page's text in lists of links."""
+    want = ["A heading", *(f"Paragraph {i} of the text says a good many things, one after the other, so that it is long enough to stand out." for i in range(5)), "Short."]
+    assert html_text.extract(f"<body>{PLAIN}</body>").split("\n\n") == want
+    several = "<body>" + "".join(f"<article><h2>Part {i}</h2><p>{'Text of this part, and more of it. ' * 9}</p></article>" for i in range(3)) + "<div><p>Beside <a href=x>these, links</a></p></div></body>"
+    assert html_text.extract(several).count("Part ") == 3 and "Beside" not in html_text.extract(several)
+    for other in (np.ones_like, np.zeros_like):
+        monkeypatch.setattr(html_text, "_content", lambda lines, sigma, other=other: other(np.empty(len(lines), bool)))
+        assert html_text.extract(f"<body>{PLAIN}</body>").split("\n\n") != want
+
+
+def test_excluded_text_inside_a_line_goes():
+    body = "Long text of the article. " * 20
+    got = html_text.extract(f"<article><p>{body}<span class='ad'>Buy</span> and <button>Press</button> on<br><a href=x>link</a></p><p>End</p></article>")
+    assert got == f"{body.strip()} and on link\n\nEnd"
+
+
+@pytest.mark.parametrize("piece", ["<div><p>some text here", "<b>", "<a ", "<!--", "<p title='", "<ul><li>a", "</section>x<hr>", "</a ", "<![CDATA[", "<td><tr>x", "<article><section>y"])
+def test_pages_take_linear_time(piece):
+    took = []
+    for n in (10_000, 40_000):
+        begun = time.monotonic()
+        html_text.extract("<article>" + "<i>" * n + piece * n)
+        took.append(time.monotonic() - begun)
+    assert took[1] < 4 and took[1] < 10 * took[0] + 0.5
+
+
 VALUES = [
     ("card", "4337166598464399"),
     ("card", "4337-1665-9846-4399"),
