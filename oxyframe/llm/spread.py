@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir, ship
+from ..session import cut, folder, shared_dir, ship
 
-__all__ = ["apart", "cut", "shared_dir", "table"]
+__all__ = ["apart", "cut", "folder", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table and read from there."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def apart(doc_id: str = "doc_id") -> tuple[Column, Column]:
     """Two join keys of a document: its id and 0, or where that is null a number of the row's own.
 

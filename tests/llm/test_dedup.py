@@ -95,8 +95,8 @@ def _classes(rows, threshold=0.8):
         w = _words(t)
         sets[d] = collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
     df = collections.Counter(s for v in sets.values() for s in v)
-    n = len(rows)
-    weights = {d: {s: c * np.log1p(n / max(df[s], near_dedup.COMMON * n, 1)) for s, c in v.items()} for d, v in sets.items()}
+    n, common = len(rows), near_dedup.COMMON
+    weights = {d: {s: c * (1 + np.log(n / max(df[s], common * n, 1)) / np.log(1 / common)) for s, c in v.items()} for d, v in sets.items()}
     root = {d: d for d in sets}
 
     def find(x):
