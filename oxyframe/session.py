@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,15 +34,38 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; only where none is named, a local one."""
+    """The checkpoint folder that the cluster names; a local one only where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = os.path.join(tempfile.gettempdir(), "oxyframe-checkpoints")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or "/tmp/checkpoints")
-    return named or "/tmp/checkpoints"
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared one; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/oxyframe-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_sweep)
+    _folders.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    for spark, path in _folders:
+        with contextlib.suppress(Exception):  # the session may have ended
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
