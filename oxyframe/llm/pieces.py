@@ -9,11 +9,13 @@ the best path is the only finite one.
 A giant text is cut into chunks anywhere. The state at a cut is (last piece begun
 before it, how many characters it reaches past it). Each chunk, with a few characters
 of its neighbours, gives a transfer matrix from the states at its left cut to those
-at its right one; the matrices of a document are combined by the associative max-plus
-product, which fixes the state at each cut; then each chunk is backtraced by itself.
-No piece of the vocabulary goes on over a space, so a chunk that holds a space splits
-into a head that depends on the left state, a middle that the library encodes, and a
-tail that fixes the right state. Other texts are encoded by the library as they are.
+at its right one, whose entries are the scores of the chunk's best paths. Matrices are
+combined by the associative max-plus product as a tree: those of SEGMENT chunks in one
+task, the segments of a document in another. From the root down each node of the tree
+gives its halves the state between them, and at last each chunk is backtraced by itself.
+No piece of the vocabulary goes on over a space, so between two spaces that begin a
+word a chunk's matrix is one number, the sum of its words' best scores; the words' paths
+are kept. Texts that are not giant are a single chunk and are encoded by the library.
 
 Edge cases: null counts as empty, which has no pieces. A literal U+2581 decodes as a
 space, as the format defines. Null and repeated ids give a row each. Other columns
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,10 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from . import spread
 
 GIANT = 1 << 16
 CHUNK = 1 << 14
+SEGMENT = 64  # chunks whose matrices one task combines
+_KEPT = 256  # characters of a word whose path is kept
 SPACE = "▁"
+_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
 START = ("", 0)  # nothing before, or a place that every path passes
 _SCHEMA = "doc_id long, n_chars int, n_tokens int, ids array<int>, ids_sha256 string, round_trip boolean"
 
@@ -54,6 +62,7 @@ class Vocabulary:
         self.longest = max(map(len, self.score))
         self.compatible = lru_cache(1 << 18)(self._compatible)
         self.whole = lru_cache(1 << 18)(lambda p: self.merge(p) == [p])
+        self._word = lru_cache(1 << 17)(self._path)
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair encoding of a short string: best score first, leftmost of equals."""
@@ -77,6 +86,14 @@ class Vocabulary:
             return True
         return self.compatible(left, right)
 
+    def _path(self, text: str) -> tuple[tuple[int, ...], float]:
+        reached = walk(self, text, 0, "", len(text))
+        return tuple(i for p in trace(reached, len(text)) for i in self.ids_of(p)), reached[len(text)][2]
+
+    def words(self, text: str) -> Iterator[tuple[tuple[int, ...], float]]:
+        """Pieces and score of the best path of each word, a word being spaces and what follows them."""
+        return (self._word(w) if len(w) <= _KEPT else self._path(w) for w in _WORDS.findall(text))
+
     def ids_of(self, piece: str) -> list[int]:
         if piece in self.score:
             return [self.sp.piece_to_id(piece)]
@@ -153,7 +170,9 @@ class Chunk:
                 else:
                     out[s] = self._exits(self._from_left(s, self.right))
             return out
-        ends = {START: 0.0} if self.tail == self.right else self._exits(walk(self.v, self.text, self.tail, "", self.right))
+        middle = sum(score for _, score in self.v.words(self.text[self.head : self.tail]))
+        last = {START: 0.0} if self.tail == self.right else self._exits(walk(self.v, self.text, self.tail, "", self.right))
+        ends = {e: middle + w for e, w in last.items()}
         for s in self.entries():
             if s == START and self.head == self.left:
                 out[s] = dict(ends)
@@ -173,10 +192,8 @@ class Chunk:
         out = []
         if not (entry == START and self.head == self.left):
             out += [i for p in trace(self._from_left(entry, self.head), self.head) for i in v.ids_of(p)]
-        # The library puts the first space of the middle itself.
-        middle = self.text[self.head + 1 : self.tail]
-        if self.tail > self.head:
-            out += v.sp.encode(middle) if middle else [v.sp.piece_to_id(SPACE)]
+        for word, _ in v.words(self.text[self.head : self.tail]):
+            out += word
         if self.tail < self.right:
             out += [i for p in trace(walk(v, self.text, self.tail, "", self.right), self.right + leave[1]) for i in v.ids_of(p)]
         return out
@@ -196,18 +213,30 @@ def product(a: dict, b: dict) -> dict:
     return out
 
 
-def resolve(matrices: list[dict]) -> list[tuple[tuple[str, int], tuple[str, int]]]:
-    """The states at both cuts of every chunk on the best path."""
-    forward = [{START: {START: 0.0}}]
-    for m in matrices:
-        forward.append(product(forward[-1], m))
-    state, out = START, []
-    for k in range(len(matrices) - 1, -1, -1):
-        row = forward[k][START]
-        before = max((s for s in row if state in matrices[k].get(s, {})), key=lambda s: row[s] + matrices[k][s][state])
-        out.append((before, state))
-        state = before
-    return out[::-1]
+def tree(matrices: list[dict]) -> list[list[dict]]:
+    """Levels of products of neighbours, from the matrices up to their product."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([product(*below[i : i + 2]) if i + 1 < len(below) else below[i] for i in range(0, len(below), 2)])
+    return levels
+
+
+def resolve(matrices: list[dict], entry: tuple[str, int] = START, leave: tuple[str, int] = START) -> list[tuple[tuple[str, int], tuple[str, int]]]:
+    """The states at both cuts of every chunk on the best path from ``entry`` to ``leave``."""
+    levels = tree(matrices)
+    states = [(entry, leave)]
+    for below in reversed(levels[:-1]):
+        out = []
+        for i, (a, b) in enumerate(states):
+            if 2 * i + 1 < len(below):
+                left, right = below[2 * i], below[2 * i + 1]
+                between = max((s for s in left[a] if b in right.get(s, {})), key=lambda s: left[a][s] + right[s][b])
+                out += [(a, between), (between, b)]
+            else:
+                out.append((a, b))
+        states = out
+    return states
 
 
 def split(text: str, longest: int, chunk: int = CHUNK) -> list[tuple[int, str, int, int, bool, bool]]:
@@ -284,11 +313,24 @@ def _transfers(sent):
     return run
 
 
+def _in_order(parts: list[dict]) -> list[dict]:
+    return [pickle.loads(m["matrix"]) for m in sorted(parts, key=lambda m: m["n"])]
+
+
+def _combined(batches):
+    """The product of each segment's matrices."""
+    for batch in batches:
+        out = [pickle.dumps(tree(_in_order(ms))[-1][0]) for ms in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["key", "n", "matrix"])
+
+
 def _states(batches):
+    """Of key, segment's matrices and the segment's own states (null: a whole document) the states of each."""
     for batch in batches:
         keys, ns, states = [], [], []
-        for key, ms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for n, s in enumerate(resolve([pickle.loads(m["matrix"]) for m in sorted(ms, key=lambda m: m["n"])])):
+        for key, ms, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends = pickle.loads(own) if own else (START, START)
+            for n, s in zip(sorted(m["n"] for m in ms), resolve(_in_order(ms), *ends), strict=True):
                 keys.append(key)
                 ns.append(n)
                 states.append(pickle.dumps(s))
@@ -315,20 +357,25 @@ def _joined(sent):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, giant: int = GIANT, chunk: int = CHUNK, segment: int = SEGMENT) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids, ids_sha256 (of little-endian int32) and round_trip (decoding gives the text back).
 
     The model is read on the driver and sent to the executors.
     """
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    plain = src.where(F.coalesce(F.length("text"), F.lit(0)) <= giant).mapInArrow(_plain(sent), _SCHEMA)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = src.where(F.length("text") <= giant).mapInArrow(_plain(sent), _SCHEMA)
     large = src.where(F.length("text") > giant).withColumn("key", F.unhex(F.sha2("text", 256)))
     one_each = large.select("key", "text").dropDuplicates(["key"])
     parts = one_each.mapInArrow(_chunks(sent, chunk), "key binary, n int, body string, left int, right int, first boolean, last boolean").repartition("key", "n")
     matrices = parts.mapInArrow(_transfers(sent), "key binary, n int, matrix binary")
-    states = matrices.groupBy("key").agg(F.collect_list(F.struct("n", "matrix")).alias("ms")).mapInArrow(_states, "key binary, n int, state binary")
+    matrices = spread.cut(matrices)
+    segments = matrices.groupBy("key", F.expr(f"int(n div {segment})").alias("segment")).agg(F.collect_list(F.struct("n", "matrix")).alias("ms"))
+    products = segments.mapInArrow(_combined, "key binary, n int, matrix binary")
+    tops = products.groupBy("key").agg(F.collect_list(F.struct("n", "matrix")).alias("ms")).withColumn("own", F.lit(None).cast("binary")).mapInArrow(_states, "key binary, n int, state binary")
+    within = segments.join(tops.select("key", F.col("n").alias("segment"), F.col("state").alias("own")), ["key", "segment"])
+    states = within.select("key", "ms", "own").mapInArrow(_states, "key binary, n int, state binary")
     traced = parts.join(states, ["key", "n"]).mapInArrow(_traced(sent), "key binary, n int, part array<int>")
     whole = traced.groupBy("key").agg(F.collect_list(F.struct("n", "part")).alias("parts"))
     scanned = large.join(whole, "key").select("doc_id", "text", "parts").mapInArrow(_joined(sent), _SCHEMA)

@@ -32,6 +32,9 @@ def test_scan_equals_the_library(vocab):
             states = pieces.resolve([c.transfer() for c in chunks])
             ids = [i for c, (a, b) in zip(chunks, states, strict=True) for i in c.ids(a, b)]
             assert ids == vocab.sp.encode(text), (size, text[:20])
+            # The root of the tree holds the score of the whole path.
+            whole = pieces.tree([c.transfer() for c in chunks])[-1][0][pieces.START][pieces.START]
+            assert abs(whole - sum(vocab.score.get(vocab.sp.id_to_piece(i), 0) for i in ids)) < 1e-6 * max(1, -whole)
 
 
 def test_product_is_associative(vocab):
@@ -40,6 +43,7 @@ def test_product_is_associative(vocab):
     left = pieces.product(pieces.product(m[0], m[1]), m[2])
     right = pieces.product(m[0], pieces.product(m[1], m[2]))
     assert {(a, b) for a, r in left.items() for b in r} == {(a, b) for a, r in right.items() for b in r}
+    assert all(abs(w - right[a][b]) < 1e-9 for a, r in left.items() for b, w in r.items()) and any(w < 0 for r in left.values() for w in r.values())
 
 
 def test_encode_documents(docs_of, vocab):
@@ -52,6 +56,15 @@ def test_encode_documents(docs_of, vocab):
     assert pieces.encode(docs_of([]), MODEL).count() == 0
 
 
+@pytest.mark.parametrize(("chunk", "segment"), [(300, 3), (2000, 64)])
+def test_scan_of_every_document(small, vocab, monkeypatch, chunk, segment):
+    """All texts through the scan, none through the library's encoder."""
+    docs = small("documents")
+    want = sorted((r.doc_id, vocab.sp.encode(r.text or "")) for r in docs.collect())
+    got = pieces.encode(docs, MODEL, giant=-1, chunk=chunk, segment=segment).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == want and all(r.round_trip for r in got)
+
+
 def test_pages_on_tables(small):
     html = {r.page_id: r.html for r in small("pages").collect()}
     from html import unescape
