@@ -7,6 +7,7 @@ skipped with ``checks=False``.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 from typing import Any
@@ -39,6 +40,32 @@ def numbered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     return joined.withColumn(ROW, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
 
 
+class MixedRates(SignalError):
+    """Series have several rates: the rates, and the table of series and rate."""
+
+    def __init__(self, rates: list[float], table: DataFrame):
+        super().__init__(f"series have several sample rates: {', '.join(f'{r:g}' for r in rates)} Hz")
+        self.rates, self.table = rates, table
+
+
+def each_rate(verb):
+    """A verb that takes the series of each estimated rate by themselves."""
+
+    @functools.wraps(verb)
+    def run(sf: SignalFrame, *args: Any, **kw: Any) -> SignalFrame:
+        try:
+            return verb(sf, *args, **kw)
+        except MixedRates as mixed:
+            done = [verb(part, *args, **kw) for part in sf.parts(mixed)]
+            changes: dict[str, Any] = {"sample_rate": None}
+            if done[0].meta.interval_times is not None:
+                changes["interval_times"] = functools.reduce(lambda a, b: a.unionByName(b), [f.meta.interval_times for f in done])
+            df = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.df for f in done])
+            return SignalFrame(df, done[0].meta.with_(**changes), sf.checks)
+
+    return run
+
+
 class SignalFrame:
     """Recordings and their metadata."""
 
@@ -180,15 +207,31 @@ class SignalFrame:
             if not self.df.select(F.expr(f"{W.q(time)} is null or {W.q(time)} < {before}").alias("bad")).where("bad").isEmpty():
                 raise SignalError("irregular time: values are missing or not sorted", func)
 
+    def estimated_rates(self, time_channel: Any = None) -> DataFrame:
+        """series, rate: for each series 1 / the median step of its time, as the nearest usual rate; null without two times."""
+        t = self.time_name(time_channel, "estimated_rates")
+        step = self.df.select(SERIES, F.expr(f"{W.q(t)} - lag({W.q(t)}) OVER (PARTITION BY {SERIES} ORDER BY {ROW})").alias("d"))
+        middle = step.groupBy(SERIES).agg(F.expr("1 / nullif(percentile(d, 0.5), 0)").alias("r"))
+        return middle.selectExpr(SERIES, f"case when r is not null then {W.snapped_sql('r')} end as rate")
+
     def estimated_rate(self, time_channel: Any = None) -> float:
-        """1 / the median step of time, as the nearest usual rate."""
-        t = self.time_name(time_channel, "estimated_rate")
-        step = self.df.select(F.expr(f"{W.q(t)} - lag({W.q(t)}) OVER (PARTITION BY {SERIES} ORDER BY {ROW})").alias("d"))
-        d = step.agg(F.expr("percentile(d, 0.5)")).first()[0]
-        return W.snapped(None if not d else 1 / d)
+        """The estimate that all series share; MixedRates where they differ."""
+        table = self.estimated_rates(time_channel)
+        found = sorted(r.rate for r in table.where("rate is not null").select("rate").distinct().collect())
+        if not found:
+            raise SignalError("sample rate cannot be estimated")
+        if len(found) > 1:
+            raise MixedRates(found, table)
+        return float(found[0])
+
+    def parts(self, mixed: MixedRates) -> list[SignalFrame]:
+        """The series of each rate, with that rate; a series without an estimate goes with the lowest."""
+        rate = F.coalesce("rate", F.lit(mixed.rates[0]))
+        of = [self.df.join(mixed.table.where(rate == r).select(SERIES), SERIES, "left_semi").select(*map(W.q, self.df.columns)) for r in mixed.rates]
+        return [SignalFrame(df, self.meta.with_(sample_rate=r), self.checks) for df, r in zip(of, mixed.rates, strict=True)]
 
     def rate(self, sample_rate: float | None = None, time_channel: Any = None, verbose: bool = True, func: str = "rate") -> float:
-        """The rate given, else that of the metadata, else an estimate."""
+        """The rate given, else that of the metadata, else an estimate (MixedRates where series differ)."""
         from .args import number
 
         number("sample_rate", sample_rate, 1, 0, inclusive=(False, True), func=func)
@@ -197,9 +240,12 @@ class SignalFrame:
             known = self.estimated_rate(time_channel)
             inform(f"estimated sample rate is {known:g} Hz", func, verbose)
         elif self.checks and sample_rate is not None and abs(known - 1) > 0.5:
-            guess = self.estimated_rate(time_channel)
-            if abs(guess - known) > 0.5:
-                warn(f"sample rate {known:g} Hz differs from the estimate {guess:g} Hz", func, verbose)
+            try:
+                guesses = [self.estimated_rate(time_channel)]
+            except MixedRates as mixed:
+                guesses = mixed.rates
+            if odd := [f"{g:g}" for g in guesses if abs(g - known) > 0.5]:
+                warn(f"sample rate {known:g} Hz differs from the estimate {', '.join(odd)} Hz", func, verbose)
         return float(known)
 
     def irregular_samples(self, time_channel: Any = None, gap: float = 3600.0) -> DataFrame:

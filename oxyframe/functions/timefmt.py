@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 UNITS = {"secs": 1, "mins": 60, "hours": 3600, "days": 86400, "weeks": 604800}
 # Ranges in seconds up to which an axis counts in seconds, minutes, hours, days, and the steps it takes, in seconds.
 STEPS = (
@@ -32,13 +35,15 @@ def format_hmmss(seconds: Sequence[float | None]) -> list[str | None]:
     return out
 
 
-def hmmss_sql(x: str) -> str:
-    """SQL of the same over a whole result."""
-    hours, parts = f"max(abs({x}) >= 3600) OVER ()", f"max({x} <> floor({x})) OVER ()"
-    s = f"case when {parts} then format_string('%05.2f', abs({x}) % 60) else format_string('%02d', cast(floor(abs({x}) % 60) as int)) end"
-    h = f"format_string('%d:%02d:', cast(floor(abs({x}) / 3600) as int), cast(floor(abs({x}) % 3600 / 60) as int))"
-    m = f"format_string('%02d:', cast(floor(abs({x}) / 60) as int))"
-    return f"case when {x} is null then null else concat(case when {x} < 0 then '-' else '' end, case when {hours} then {h} else {m} end, {s}) end"
+def with_hmmss(df: DataFrame, x: str, name: str) -> DataFrame:
+    """``df`` with the same of column ``x``; what the whole column has is one aggregated row, joined by broadcast."""
+    q = f"`{x}`"
+    every = df.agg(F.expr(f"coalesce(max(abs({q}) >= 3600), false)").alias("_hours"), F.expr(f"coalesce(max({q} <> floor({q})), false)").alias("_parts"))
+    s = f"case when _parts then format_string('%05.2f', abs({q}) % 60) else format_string('%02d', cast(floor(abs({q}) % 60) as int)) end"
+    h = f"format_string('%d:%02d:', cast(floor(abs({q}) / 3600) as int), cast(floor(abs({q}) % 3600 / 60) as int))"
+    m = f"format_string('%02d:', cast(floor(abs({q}) / 60) as int))"
+    text = f"case when {q} is null or isnan({q}) then null else concat(case when {q} < 0 then '-' else '' end, case when _hours then {h} else {m} end, {s}) end"
+    return df.join(F.broadcast(every)).withColumn(name, F.expr(text)).drop("_hours", "_parts")
 
 
 def breaks_timespan(low: float, high: float, unit: str = "secs", n: int = 5) -> list[float]:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .. import args as A
 from ..errors import SignalError, inform, warn
-from ..frame import ROW, SERIES, SignalFrame
+from ..frame import ROW, SERIES, SignalFrame, each_rate
 from ..functions import windows as W
 from ..session import ship
 from . import kernels
@@ -142,6 +142,7 @@ def _distinct_times(sf: SignalFrame, time: str, func: str) -> None:
         raise SignalError("time has repeated samples; resample first", func)
 
 
+@each_rate
 def filter_channels(
     sf: SignalFrame,
     channels: Any = None,

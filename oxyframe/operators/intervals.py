@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import args as A
 from ..errors import SignalError, inform, warn
-from ..frame import ROW, SERIES, SignalFrame
+from ..frame import ROW, SERIES, SignalFrame, each_rate
 from ..functions import windows as W
 
 
@@ -188,6 +188,7 @@ def interval_groups(groups: Any, n: int | None, verbose: bool = True, func: str
     return [(name or "interval_" + "_".join(map(str, g)), g) for name, g in listed]
 
 
+@each_rate
 def extract_intervals(
     sf: SignalFrame,
     channels: Any = None,

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .. import args as A
 from ..errors import inform
-from ..frame import ROW, SERIES, SignalFrame
+from ..frame import ROW, SERIES, SignalFrame, each_rate
 from ..functions import windows as W
 from .replace import interpolate
 
@@ -26,6 +26,7 @@ def grid(sf: SignalFrame, time: str, rate: float):
     return edge.selectExpr(SERIES, "_lo", f"cast(floor((_hi - _lo) * {r} + 1e-10) as bigint) as _n", "_count").where("_n >= 0")
 
 
+@each_rate
 def resample(sf: SignalFrame, time_channel: Any = None, sample_rate: float | None = None, resample_rate: float | None = None, method: str = "none", verbose: bool = True) -> SignalFrame:
     """Values on a grid of ``resample_rate`` per time unit.
 

@@ -15,6 +15,7 @@ from ..meta import SignalMeta
 from ..operators import filters, intervals, kernels
 from ..operators import replace as rep
 from ..sources import recording, tables
+from ..session import folder
 from ..streaming import trailing
 from .signals import micros, out, table, users, vectors
 
@@ -354,8 +355,27 @@ def intervals_grouped(spark: SparkSession, d: str) -> DataFrame:
  c AS (SELECT vec_id, k, abs(l[k] - r) AS gap, l[k] AS rate FROM m, (SELECT [{', '.join(f'{r!r}' for r in W.RATES)}]::DOUBLE[] AS l), unnest(range(1, {len(W.RATES) + 1})) AS q(k))
 SELECT vec_id, arg_min(rate, gap + k * 1e-9) AS rate FROM c GROUP BY vec_id""")
 def sample_rates(spark: SparkSession, d: str) -> DataFrame:
-    steps = vectors(spark, d).df.selectExpr("vec_id", f"t - lag(t) over (partition by {SERIES} order by {ROW}) as d")
-    return steps.groupBy("vec_id").agg(F.expr("1 / percentile(d, 0.5)").alias("r")).selectExpr("vec_id", f"{W.snapped_sql('r')} as rate")
+    return vectors(spark, d).estimated_rates().selectExpr(f"cast({SERIES} as bigint) as vec_id", "rate")
+
+
+def _mixed(spark: SparkSession, d: str) -> SignalFrame:
+    """Recordings at 10, 5 and 1 Hz, rates unknown."""
+    sf = vectors(spark, d)
+    slow = sf.df.withColumn("t", F.expr("t * case vec_id % 3 when 0 then 1 when 1 then 2 else 10 end"))
+    return SignalFrame(slow, sf.meta.with_(sample_rate=None), True)
+
+
+@_add(f"WITH {E} SELECT DISTINCT vec_id, CAST(CASE vec_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 1 END AS DOUBLE) AS rate FROM e")
+def sample_rates_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d).estimated_rates().selectExpr(f"cast({SERIES} as bigint) as vec_id", "rate")
+
+
+@_add(f"""WITH {E}, m AS (SELECT vec_id, i, t * CASE vec_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END AS t, x, CASE vec_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 1 END AS r FROM e),
+ b AS (SELECT vec_id, r, n, round_even((t - 10.0 * n / r) * r, 0) / r AS t, x FROM m, (VALUES (1), (4)) AS v(n) WHERE round(t, 6) BETWEEN round(10.0 * n / r - 2.0, 6) AND round(10.0 * n / r + 3.0, 6))
+SELECT 'ensemble_' || vec_id AS series, {_r('t', 't')}, {_r('avg(x)', 'x')} FROM b GROUP BY vec_id, t""")
+def intervals_mixed_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Ensembles around the 11th and 41st sample, each recording's steps by its own rate, with all checks on."""
+    return out(_mixed(spark, d).extract_intervals(start=intervals.by_sample(11, 41), span=(-2, 3), group_intervals="ensemble", verbose=False).df, "series", "t", "x")
 
 
 @_add(f"""WITH {E}, s AS (SELECT vec_id, i, CASE WHEN i = 20 THEN CAST(1.9 AS DOUBLE) WHEN i = 30 THEN CAST(2.95 AS DOUBLE) - 1 WHEN i = 63 THEN t + 4000 ELSE t END AS t FROM e),
@@ -376,7 +396,7 @@ def plot_rows(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, (CAST(s AS BIGINT) // 3600)::VARCHAR || ':' || lpad((CAST(s AS BIGINT) % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((CAST(s AS BIGINT) % 60)::VARCHAR, 2, '0') AS took FROM m""")
 def durations(spark: SparkSession, d: str) -> DataFrame:
     m = users(spark, d).df.groupBy("user_id").agg(F.floor(F.max("t")).cast("double").alias("s"))
-    return m.selectExpr("user_id", f"{timefmt.hmmss_sql('s')} as took")
+    return timefmt.with_hmmss(m, "s", "took").select("user_id", "took")
 
 
 @_add("""SELECT CAST(2 * i AS DOUBLE) AS "time", CAST(70 - i % 40 AS DOUBLE) AS smo2, CAST(i // 30 + 1 AS INTEGER) AS lap FROM range(120) AS r(i)""")
@@ -392,9 +412,13 @@ def stream_daily_mean(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/event*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     means = trailing.windowed_mean(trailing.invalid_to_null(stream, ["value"], above=40), "event_type", "ts", "value", "1 day")
-    name = f"oxyframe_daily_{abs(hash(d)) % 10**9}"
-    means.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return out(spark.table(name), "series", "cast(begin as timestamp_ntz) as begin", "mean", "n")
+    path = folder(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows")
+
+    means.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return out(spark.read.parquet(f"{path}/rows"), "series", "cast(begin as timestamp_ntz) as begin", "mean", "n")
 
 
 @_add(f"""WITH {E}, q AS (SELECT vec_id, i, t, CASE WHEN z >= 5 THEN NULL ELSE z END AS z FROM e), k AS ({_ends('z', 'q')}), f AS (SELECT vec_id, i, t, {_LINE} AS z FROM k),

@@ -1,8 +1,10 @@
+import math
+
 import pytest
 
 from oxyframe import args
 from oxyframe.errors import SignalError, SignalWarning
-from oxyframe.frame import SignalFrame
+from oxyframe.frame import SERIES, MixedRates, SignalFrame
 from oxyframe.operators import intervals as I  # noqa: E741
 
 
@@ -79,3 +81,22 @@ def test_channel_arguments():
     with pytest.warns(SignalWarning, match="not recognised"):
         args.per_channel(["a"], {"to": {"z": 1, None: 2}})
     assert args.column_names(args.starts_with("a"), ["ab", "b"]) == ["ab"]
+
+
+def test_series_of_several_rates(spark):
+    """Each series is filtered and averaged by its own rate, as if it were alone."""
+    def one(name, rate, n):
+        return [(name, k, k / rate, 50 + 10 * math.sin(k / 3) + (k * 7919 % 13) / 10) for k in range(n)]
+
+    rows = one("fast", 10.0, 200) + one("slow", 1.0, 50) + [("lone", 0, 0.0, 1.0)]
+    frame = lambda rows: SignalFrame.from_df(spark.createDataFrame(rows, "s string, k long, t double, x double"), "t", ["x"], series="s", order="k")
+    both = frame(rows)
+    assert {r[0]: r.rate for r in both.estimated_rates().collect()} == {"fast": 10.0, "slow": 1.0, "lone": None}
+    with pytest.raises(MixedRates):
+        both.estimated_rate()
+    smooth = {(r.s, r.k): r.x for r in frame(rows[:-1]).filter(method="butterworth", order=2, fc=0.2, verbose=False).df.collect()}
+    for name, rate in (("fast", 10.0), ("slow", 1.0)):
+        alone = frame([r for r in rows if r[0] == name]).filter(method="butterworth", order=2, fc=0.2, sample_rate=rate, verbose=False).df.collect()
+        assert all(abs(smooth[name, r.k] - r.x) < 1e-9 for r in alone) and len(alone) > 40
+    grid = frame(rows[:-1]).resample(method="linear", verbose=False).df.groupBy(SERIES).count().collect()
+    assert sorted(r[1] for r in grid) == [50, 200]
