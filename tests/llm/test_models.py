@@ -94,11 +94,126 @@ def test_probabilities_sum_to_one():
     assert np.allclose((0.5**size.astype(float)).sum(axis=1), 1)
 
 
-def test_windows_cover_long_texts():
-    data = np.frombuffer(b"word " * 500_000, np.uint8)
-    cuts, ended, text_of = lm_score.windows(data, np.array([0, len(data)]))
-    assert cuts[0] == 0 and cuts[-1] == len(data) and ended.tolist() == [0] * (len(ended) - 1) + [1] and set(text_of) == {0}
-    assert np.diff(cuts).max() <= lm_score.WINDOW
+def _hash(data):
+    h = 0
+    for i, c in enumerate(data):
+        h = (h + int(lm_score._BYTE[c]) * pow(lm_score._BASE, i, 2**32)) % 2**32
+    return h
+
+
+def _slots(code, text):
+    """Of each coded byte of a text, in plain steps: for each bit its places in the tables, gate and value."""
+    m32 = lambda x: x % 2**32
+    words = [w.encode() for w in _tokens(text)[:-1]]
+    coded = b"".join(w + b" " for w in words) + bytes([lm_score.END])
+    pads = bytes([lm_score.END] * 4)
+    before, word, out = b"", b"", []
+    for i, c in enumerate(coded):
+        tail = (pads + coded[:i])[-4:]
+        two = tail[3] | tail[2] << 8
+        which = int(code.which[two])
+        own = m32(which * 0x9E3779B1)
+        four = m32((two | (tail[1] | tail[0] << 8) << 16) + own)
+        prefix, last = m32(_hash(word) + own), _hash(before) ^ own
+        mul = [int(x) for x in lm_score._MUL]
+        ctx = [m32((four ^ four >> 15) * mul[0]), m32(prefix * mul[1]), m32(m32(prefix + last * 0x2545F491) * mul[2])]
+        places = [m32((x ^ x >> 16) * 0x9E3779B1) >> 32 - lm_score.TABLE_BITS for x in ctx]
+        way, bits = which * 256 + c, []
+        for step in code.step[code.start[way] : code.start[way] + code.size[way]].tolist():
+            bits.append(([p ^ step >> 4 for p in places], min(len(word), 3) * 8 + (step >> 1 & 7), step & 1))
+        out.append(bits)
+        if c in (0x20, lm_score.END):
+            before, word = word, b""
+        else:
+            word += bytes([c])
+    return words, out
+
+
+def _spelled(model, text):
+    """Nats of each token, bit by bit."""
+    words, coded = _slots(model.code, text)
+    own, cells, nats = [0.0] * lm_score.K, model.refined.astype(float).tolist(), []
+    for at in range(0, len(coded), lm_score.BLOCK):
+        slope, moved, n = [0.0] * lm_score.K, {}, 0
+        for bits in coded[at : at + lm_score.BLOCK]:
+            cost = 0.0
+            for places, gate, bit in bits:
+                st = [np.float32(model.tables[k][places[k]]) for k in range(lm_score.K)]
+                # Single precision, so that what lies on the edge of two cells falls into the same one.
+                x, *more = ((model.weight[k][gate] + np.float32(own[k])) * np.float32(1 / 16) * st[k] for k in range(lm_score.K))
+                for part in more:
+                    x += part
+                p = 1 / (1 + np.exp(-float(x)))
+                cell = gate * lm_score.BUCKETS + int(min(max(x * np.float32(4) + np.float32(32), 0), lm_score.BUCKETS - 1))
+                q = (p + cells[cell]) / 2
+                cost -= np.log(max(1e-9, 1 - abs(bit - q)))
+                moved[cell] = cells[cell] + lm_score.MAP_RATE * (bit - cells[cell])
+                slope = [g + s * (bit - p) for g, s in zip(slope, st, strict=True)]
+                n += 1
+            nats.append(cost)
+        for cell, value in moved.items():
+            cells[cell] = value
+        own = [float(np.clip(w + lm_score.RATE / 16 / np.sqrt(n) * g, -lm_score.MOST_OWN, lm_score.MOST_OWN)) for w, g in zip(own, slope, strict=True)]
+    ends = np.cumsum([len(w) + 1 for w in words] + [1])
+    return [sum(nats[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _log10_probability(nats, tokens, count, n, v):
+    total, gains = 0.0, []
+    for t, cost in zip(tokens, nats, strict=True):
+        g = min(max(1 / (1 + np.exp(-lm_score.TRUST * sum(gains[-lm_score.RECENT :]))), 0.01), 0.99)
+        share = (count[t] + 1) / (n + v + 1)
+        spell = np.exp(-cost) if cost < 600 else 0.0
+        # A word that training lacks can only be spelled.
+        total += (np.log(g * share + (1 - g) * spell) if count[t] else np.log(1 - g) - cost) / np.log(10)
+        gains.append(min(max(np.log(share) + cost, -8), 8) if count[t] else -8.0)
+    return total
+
+
+def test_lm_score_against_brute_force(spark, docs_of):
+    """Counts, mixing, maps and gates step by step, over texts of several blocks."""
+    rng = np.random.default_rng(5)
+    vocab = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(vocab, rng.integers(0, 160)))) for i in range(40)] + [(100, None), (101, " A  b\tA \n"), (None, "x y"), (102, "z" * 700)]
+    docs = docs_of(rows).select("doc_id", "text")
+    model = lm_score.train(docs, 12)
+    learned = [(d, t or "") for d, t in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
+    ones = [collections.Counter() for _ in range(lm_score.K)]
+    for _, t in learned:
+        for bits in _slots(model.code, t)[1]:
+            for places, _, bit in bits:
+                for k in range(lm_score.K):
+                    ones[k][places[k], bit] += 1
+    for k in range(lm_score.K):
+        for (p, _), _ in list(ones[k].items())[:3000]:
+            assert int(model.tables[k][p]) == int(np.rint(lm_score.log_odds(np.float32(ones[k][p, 0]), np.float32(ones[k][p, 1])) * 16))
+    count = collections.Counter(w for _, t in learned for w in _tokens(t))
+    n, v = sum(count.values()), len(count)
+    want = sorted((d if d is not None else -1, _log10_probability(_spelled(model, t), _tokens(t), count, n, v), len((t or "").encode())) for d, t in rows)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.score, r.bits, r.bits_per_byte) for r in lm_score.score(docs, 12).collect())
+    for (a, x, size), (b, y, bits, rate) in zip(want, got, strict=True):
+        assert a == b and abs(x - y) <= 1e-3 * max(1, abs(x)) and abs(bits + y / np.log10(2)) < 1e-6 and abs(rate - bits / max(1, size)) < 1e-9
+
+
+def test_windows_change_nothing():
+    """A text above a window costs the same whatever the window, with words and spaces over its edges."""
+    rng = np.random.default_rng(3)
+    code = lm_score.Code([b"the cat sat on the mat " * 40])
+    tables = [rng.integers(-60, 60, 1 << lm_score.TABLE_BITS).astype(np.int8) for _ in range(lm_score.K)]
+    model = lm_score.Model(code, tables, np.full((lm_score.K, lm_score.GATES), 0.4, np.float32), np.full(lm_score.GATES * lm_score.BUCKETS, 0.5, np.float32))
+    for text in (b"the cat  sat\n" * 900, b"x" * 3000 + b" the " + b"y" * 3000, b" " * 2000 + b"a b " * 700 + b" " * 3000, b"word " * 256 * 4):
+        low, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        whole = model.token_costs(low, off, 1 << 30)
+        assert len(whole) == len(text.split()) + 1
+        for window in (lm_score.BLOCK, 4 * lm_score.BLOCK):
+            assert np.allclose(model.token_costs(low, off, window), whole, rtol=1e-4)
+
+
+def test_lm_text_above_a_window(docs_of):
+    text = "some words of a long text " * 50_000
+    one, two, three = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    got = {r.doc_id: r for r in lm_score.score(docs_of([(one, text), (two, "some words"), (three, "of a")])).collect()}
+    assert got[one].n_tokens == 300_001 and got[one].score > got[one].base_score and got[one].bits_per_byte < 1
 
 
 def test_pipeline(spark):
