@@ -168,13 +168,14 @@ def _apply(text_at: int, names: list[str]):
     return run
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with repeated lines dropped from ``text``, and ``_n_lines``, ``_n_dropped``."""
-    maps = keep_bitmaps(docs, min_chars, min_docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("row_key", "bitmap")).alias("_maps"))
-    one, two = spread.apart()
-    keyed = docs.withColumns({"_one": one, "_two": two})
-    joined = keyed.join(maps.withColumn("_zero", F.lit(0).cast("long")).hint("shuffle_hash"), (F.col("_one") == F.col("_doc")) & (F.col("_two") == F.col("_zero")), "left").drop("_doc", "_one", "_two", "_zero")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """The documents with repeated lines dropped from ``text``, and two columns named by ``counts``: lines before, and dropped."""
+    doc, maps, one, two, zero = spread.free(docs, "_doc", "_maps", "_one", "_two", "_zero")
+    lists = keep_bitmaps(docs, min_chars, min_docs).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("row_key", "bitmap")).alias(maps))
+    first, second = spread.apart()
+    keyed = docs.withColumns({one: first, two: second})
+    joined = keyed.join(lists.withColumn(zero, F.lit(0).cast("long")).hint("shuffle_hash"), (F.col(one) == F.col(doc)) & (F.col(two) == F.col(zero)), "left").drop(doc, one, two, zero)
+    schema = T.StructType([*docs.schema.fields, T.StructField(counts[0], T.LongType()), T.StructField(counts[1], T.LongType())])
     return joined.mapInArrow(_apply(docs.columns.index("text"), schema.fieldNames()), schema)
 
 

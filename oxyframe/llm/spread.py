@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, folder, shared_dir, ship
 
-__all__ = ["apart", "cut", "folder", "shared_dir", "table", "written"]
+__all__ = ["apart", "cut", "folder", "free", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +29,14 @@ def apart(doc_id: str = "doc_id") -> tuple[Column, Column]:
     """
     doc = F.col(doc_id).cast("long")
     return F.coalesce(doc, F.lit(0)), F.when(doc.isNull(), F.monotonically_increasing_id() + 1).otherwise(0)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

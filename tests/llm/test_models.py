@@ -8,7 +8,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from oxyframe.llm import lm_score, near_dedup, quality, queries, spread
+from oxyframe.llm import bytesops as B
+from oxyframe.llm import decontaminate, lm_score, near_dedup, pieces, quality, queries, spread
+
+from .test_dedup import _classes as all_pair_classes
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -22,6 +25,42 @@ def test_quality_held_out(spark):
     assert np.mean([q == s.predicted for q, s in held]) > 0.95 and len(held) > 80
 
 
+def _word_hash(word):
+    h = sum(int(B.BYTE_CODE[c]) * pow(int(B.BASE), i, 2**64) for i, c in enumerate(word.lower())) + len(word)
+    return int(B.mix(np.array([h % 2**64], np.uint64))[0])
+
+
+def _features(text):
+    """Of a text's words, one by one: words, pairs, and runs of one to three shapes."""
+    mixed = lambda x: int(B.mix(np.array([x % 2**64], np.uint64))[0]) >> 64 - quality.FEATURE_BITS
+    out, before, shapes = set(), None, [0, 0]
+    for w in re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode()):
+        upper, digit = sum(65 <= c < 91 for c in w), sum(48 <= c < 58 for c in w)
+        lower = sum(97 <= c < 123 or c > 127 for c in w)
+        case = 0 if not upper else 3 if not lower and upper > 1 else 1 if upper == 1 and 65 <= w[0] < 91 else 2
+        h = _word_hash(w)
+        shape = case + 4 * min(len(w) - upper - lower - digit, 3) + 16 * (digit > 0) + 32 * (upper + lower == 0) + 64 * (h == before) + 1
+        one, two = shapes[-1], shapes[-2]
+        out |= {mixed(h), mixed(h * 3 + (before or 0) * 0x2545F4914F6CDD1D), mixed(shape + (1 << 40)), mixed(shape + (one << 10) + (2 << 40)), mixed(shape + (one << 10) + (two << 20) + (3 << 40))}
+        before = h
+        shapes.append(shape)
+    return out
+
+
+def _quality(model, text):
+    found = _features(text)
+    return 1 / (1 + np.exp(-2 * (sum(float(model[0][f]) for f in found) / np.sqrt(max(1, len(found))) + model[1])))
+
+
+def test_quality_against_brute_force(spark, small, docs_of):
+    """Every score from the words of the text alone."""
+    docs, labels = small("documents").select("doc_id", "text"), small("labels")
+    both = docs.unionByName(docs_of([(10**6, None), (10**6 + 1, "ÉÄ Straße AB 12 12 a-b-c !!! É"), (10**6 + 2, "\x0b \n")]).select("doc_id", "text"))
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r._score for r in quality.score(both, model).collect()}
+    assert len(got) > 200 and all(abs(got[r.doc_id] - _quality(model, r.text)) < 1e-4 for r in both.collect())
+
+
 def test_quality_odd_rows(spark, docs_of):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (6, 5, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = [(1, None), (2, ""), (3, "good words here"), (4, "### @@@ !!!"), (None, "x"), (5, "w " * 100_000)]
@@ -236,6 +275,60 @@ def test_pipeline(spark):
     assert len(bad & ids) <= 0.1 * len(bad)
 
 
+def test_pipeline_against_brute_force(spark, small):
+    """Each stage again without hashing, samples or filters: scores word by word, all lines, all pairs, all alignments."""
+    docs = small("documents")
+    model = quality.fit(docs, small("labels"))
+    rows = [(r.doc_id, r.text) for r in docs.collect() if _quality(model, r.text) >= 0.5]
+    lines = collections.defaultdict(set)
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 40:
+                lines[key(line)].add(d)
+    top = {k: max(v) for k, v in lines.items() if len(v) >= 5}
+    rows = [(d, "\n".join(x for x in (t or "").split("\n") if top.get(key(x), d) == d)) for d, t in rows]
+    classes = all_pair_classes(rows)
+    sets = {d: len(_tokens(t)) > 1 for d, t in rows}
+    kept = {min(c) if len(c) > 1 else next(iter(c)) for c in classes}
+    assert all(sets[d] for c in classes if len(c) > 1 for d in c)
+    # Which member stays is the operator's choice: one of each class.
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SMALL).collect()}
+    items = [decontaminate.item_characters(r.text)[0] for r in small("benchmark").collect()]
+    text = dict(rows)
+
+    def held(d):
+        whole = decontaminate.item_characters(text[d])[0]
+        return any(decontaminate.align(i, whole, len(i) // 10) for i in items if len(i))
+
+    with open(queries.PIECES, "rb") as f:
+        vocab = pieces.Vocabulary(f.read())
+    for c in classes:
+        stays = [d for d in c if d in got]
+        clean = {d: not held(d) for d in c}
+        assert len(stays) <= 1 and all(clean[d] for d in stays) and (stays or not all(clean.values())), c
+    assert len(got) > 0.5 * len(kept)
+    for d, r in got.items():
+        ids = vocab.sp.encode(text[d])
+        assert list(r.ids) == ids and r.n_tokens == len(ids) and r.round_trip
+
+
+def test_pipeline_odd_rows(spark, small, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, clashing columns, an empty table, through every stage."""
+    extra = "_one long, _gone long, node long, key long, _maps long, label long, row long"
+    long = "a text of many words " * 30_000
+    rows = [(None, "Plain words without an id."), (None, None), (1, None), (2, ""), (3, "Some plain words here."), (3, "Some plain words here."), (4, long), (5, " \n")]
+    odd = spark.createDataFrame([(d, t, "en", "s", None, *range(7)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            got = out.collect()
+            assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns, name
+            assert len(got) <= (docs is odd) * len(rows)
+    near = corpus_pipeline.one_of_each(spark, odd, SMALL).collect()
+    assert sorted(str(r.doc_id) for r in near) == ["1", "2", "3", "4", "5", "None", "None"]
+
+
 def test_every_query_runs(spark):
     assert len(queries.queries()) == 10 and set(queries.oracle_sql()) <= set(queries.queries())
 

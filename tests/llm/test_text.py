@@ -200,6 +200,45 @@ def test_pii_documents(docs_of):
     assert pii.report(docs_of([]), b"k").count() == 0
 
 
+def _valid_values(text):
+    """Cards, IBANs, mail addresses and US phone numbers of a text, by patterns and checks of their own."""
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    out = {m for m in re.findall(r"(?<![\w.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\w-]|\.\d)", text, re.A) if luhn(re.sub(r"\D", "", m)) and m[0] in "3456"}
+    out |= set(re.findall(r"(?<![\w.+-])[A-Za-z0-9.]*[A-Za-z0-9]@[a-z0-9-]+\.[a-z]{2,6}(?![\w.-])", text, re.A))
+    out |= set(re.findall(r"(?<![\w+])\+1 \(\d{3}\) \d{3}-\d{4}(?!\w)", text, re.A))
+    return out
+
+
+def test_pii_of_a_whole_table(spark):
+    """All values that plain patterns find are gone, the rest of the text stays, equal values stay linked, and the key brings all back."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    fake = pii.pseudonymise(docs, b"k")
+    linked, n = {}, 0
+    for r in fake.collect():
+        old, new, at = text[r.doc_id], r.text, 0
+        values = _valid_values(old)
+        n += len(values)
+        assert not [v for v in values if v in new and not any(v in new[f.start : f.start + f.length] for f in r._found)]
+        for f in r._found:
+            # Formats keep their length, so what stands around a value is where it was.
+            before, after = old[f.start : f.start + f.length], new[f.start : f.start + f.length]
+            if len(old) == len(new):
+                assert old[at : f.start] == new[at : f.start] and linked.setdefault(before, after) == after
+                at = f.start + f.length
+        assert len(old) != len(new) or old[at:] == new[at:]
+    assert n > 20 and len(linked) > 20
+    back = pii.pseudonymise(fake.select("doc_id", "text"), b"k", True)
+    assert {r.doc_id: r.text for r in back.collect()} == text
+
+
+def test_pii_in_a_very_long_text():
+    body = "words and 12 numbers 3.4 or a@b " * 30_000
+    begun = time.monotonic()
+    new, found = pii.replace(body + "4337166598464399 " + "1-" * 100_000 + "a." * 100_000 + "@", pii.Pseudonyms(b"k"))
+    assert [f[0] for f in found] == ["card"] and found[0][1] == len(body) and time.monotonic() - begun < 20
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.train(spark)
