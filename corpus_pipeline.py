@@ -2,18 +2,22 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that the stage before kept and
 returns a DataFrame; all but the last return the columns of ``documents``.
+
+Edge cases, stage by stage as the operators state them: null texts count as empty and
+are empty after line dedup; rows without an id are never copies of others and
+keep all their lines; of rows that repeat an id one stays; other columns pass through,
+whatever their names; an empty table passes every stage. The last stage gives a row for
+each document left. What lies between the stages is removed when the driver ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxyframe.llm import decontaminate, line_dedup, near_dedup, pieces, quality
 from oxyframe.llm.queries import PIECES
-from oxyframe.llm.spread import shared_dir, table
+from oxyframe.llm.spread import folder, free, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +28,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five documents or more share stay in one of them; ``n_chars`` follows the text."""
-    done = line_dedup.line_dedup(docs).drop("_n_lines", "_n_dropped")
+    counts = tuple(free(docs, "_n_lines", "_n_dropped"))
+    done = line_dedup.line_dedup(docs, counts=counts).drop(*counts)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done
@@ -60,7 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = folder(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
