@@ -37,10 +37,28 @@ def butterworth(order: int, cutoff, kind: str = "low") -> tuple[np.ndarray, np.n
     return np.real(b * np.abs(gain)), np.real(a)
 
 
-def recurse(b: np.ndarray, a: np.ndarray, x: np.ndarray, steady: bool = False) -> np.ndarray:
+LONG = 1 << 13  # samples from which one series is cut into blocks that run side by side
+
+
+def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The filter's output along the first axis; ``state`` moves on."""
+    n = len(a)
+    y = np.empty_like(x)
+    for i in range(len(x)):
+        y[i] = b[0] * x[i] + (state[0] if n > 1 else 0)
+        for j in range(n - 2):
+            state[j] = state[j + 1] + b[j + 1] * x[i] - a[j + 1] * y[i]
+        if n > 1:
+            state[n - 2] = b[n - 1] * x[i] - a[n - 1] * y[i]
+    return y
+
+
+def recurse(b: np.ndarray, a: np.ndarray, x: np.ndarray, steady: bool = False, long: int = LONG) -> np.ndarray:
     """The filter's output along the first axis; columns are independent.
 
-    It starts at rest, or (``steady``) as if the first value had always held.
+    It starts at rest, or (``steady``) as if the first value had always held. A long
+    series is cut into blocks that run side by side from rest; what the state at a
+    block's begin adds is linear in it, so it is added by a product afterwards.
     """
     n = max(len(a), len(b))
     b, a = np.append(b, np.zeros(n - len(b))) / a[0], np.append(a, np.zeros(n - len(a))) / a[0]
@@ -52,14 +70,20 @@ def recurse(b: np.ndarray, a: np.ndarray, x: np.ndarray, steady: bool = False) -
         for i in range(n - 1, 0, -1):
             tail = tail + b[i] * x[0] - a[i] * rest
             state[i - 1] = tail
-    y = np.empty_like(x)
-    for i in range(len(x)):
-        y[i] = b[0] * x[i] + (state[0] if n > 1 else 0)
-        for j in range(n - 2):
-            state[j] = state[j + 1] + b[j + 1] * x[i] - a[j + 1] * y[i]
-        if n > 1:
-            state[n - 2] = b[n - 1] * x[i] - a[n - 1] * y[i]
-    return y
+    if x.ndim > 1 or len(x) < long or n < 2:
+        return _run(b, a, x, state)
+    size = int(np.sqrt(len(x)))
+    blocks = -(-len(x) // size)
+    side = np.append(x, np.zeros(blocks * size - len(x))).reshape(blocks, size).T.copy()
+    ends = np.zeros((n - 1, blocks))
+    y = _run(b, a, side, ends)
+    power = np.eye(n - 1)
+    response = _run(b, a, np.zeros((size, n - 1)), power)
+    begins = np.empty((n - 1, blocks))
+    for k in range(blocks):
+        begins[:, k] = state
+        state = power @ state + ends[:, k]
+    return (y + response @ begins).T.ravel()[: len(x)]
 
 
 def both_ways(b: np.ndarray, a: np.ndarray, x: np.ndarray, edges: str = "rev", steady: bool = False) -> np.ndarray:
@@ -112,66 +136,56 @@ class Spline:
         self.qq = (q0**2 + q1**2 + q2**2, q1[:-1] * q0[1:] + q2[:-1] * q1[1:], q2[:-2] * q0[2:])
         self.ratio = self.n / max(1e-300, float((self.qq[0] / self.r[0]).sum()))
 
-    def _solve(self, lam: float) -> tuple[np.ndarray, float]:
-        """Fitted values and the trace of (I - hat)."""
-        m = self.n - 2
-        d0 = self.r[0] + lam * self.qq[0]
-        d1 = self.r[1] + lam * self.qq[1]
-        d2 = lam * self.qq[2]
-        d, u, v = np.zeros(m), np.zeros(m), np.zeros(m)
+    def _solve(self, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each lambda (a column) the fitted values and the trace of (I - hat)."""
+        m, k = self.n - 2, len(lam)
+        d0 = self.r[0][:, None] + lam * self.qq[0][:, None]
+        d1 = self.r[1][:, None] + lam * self.qq[1][:, None]
+        d2 = lam * self.qq[2][:, None]
+        q0, q1, q2 = self.q
+        none = np.zeros(k)
+        d, u, v = np.empty((m, k)), np.zeros((m, k)), np.zeros((m, k))
+        z = np.repeat((q0 * self.y[:-2] + q1 * self.y[1:-1] + q2 * self.y[2:])[:, None], k, axis=1)
         for i in range(m):
-            d[i] = d0[i] - (d[i - 1] * u[i - 1] ** 2 if i > 0 else 0) - (d[i - 2] * v[i - 2] ** 2 if i > 1 else 0)
+            du = d[i - 1] * u[i - 1] if i else none
+            d[i] = d0[i] - (du * u[i - 1] if i else 0) - (d[i - 2] * v[i - 2] ** 2 if i > 1 else 0)
+            if i:
+                z[i] -= u[i - 1] * z[i - 1]
+            if i > 1:
+                z[i] -= v[i - 2] * z[i - 2]
             if i < m - 1:
-                u[i] = (d1[i] - (d[i - 1] * u[i - 1] * v[i - 1] if i > 0 else 0)) / d[i]
+                u[i] = (d1[i] - (du * v[i - 1] if i else 0)) / d[i]
             if i < m - 2:
                 v[i] = d2[i] / d[i]
-        q0, q1, q2 = self.q
-        z = q0 * self.y[:-2] + q1 * self.y[1:-1] + q2 * self.y[2:]
-        for i in range(m):
-            z[i] -= (u[i - 1] * z[i - 1] if i > 0 else 0) + (v[i - 2] * z[i - 2] if i > 1 else 0)
         z /= d
+        # Back through the system, with the central bands of its inverse.
+        s0, s1, s2 = np.zeros((m + 2, k)), np.zeros((m + 2, k)), np.zeros((m + 2, k))
+        z = np.concatenate([z, np.zeros((2, k))])
         for i in range(m - 1, -1, -1):
-            z[i] -= (u[i] * z[i + 1] if i < m - 1 else 0) + (v[i] * z[i + 2] if i < m - 2 else 0)
-        fit = self.y.copy()
-        fit[:-2] -= lam * q0 * z
-        fit[1:-1] -= lam * q1 * z
-        fit[2:] -= lam * q2 * z
-        # Central bands of the inverse, from the last row up.
-        s0, s1, s2 = np.zeros(m), np.zeros(m), np.zeros(m)
-        for i in range(m - 1, -1, -1):
-            a, b = (u[i], v[i])
-            n1 = s0[i + 1] if i < m - 1 else 0.0
-            n12 = s1[i + 1] if i < m - 2 else 0.0
-            n2 = s0[i + 2] if i < m - 2 else 0.0
-            s1[i] = -a * n1 - b * n12
-            s2[i] = -a * n12 - b * n2
-            s0[i] = 1 / d[i] - a * s1[i] - b * s2[i]
-        trace = lam * (float(s0 @ self.qq[0]) + 2 * float(s1[:-1] @ self.qq[1]) + 2 * float(s2[:-2] @ self.qq[2]))
+            z[i] -= u[i] * z[i + 1] + v[i] * z[i + 2]
+            s1[i] = -u[i] * s0[i + 1] - v[i] * s1[i + 1]
+            s2[i] = -u[i] * s1[i + 1] - v[i] * s0[i + 2]
+            s0[i] = 1 / d[i] - u[i] * s1[i] - v[i] * s2[i]
+        z = z[:m]
+        fit = np.repeat(self.y[:, None], k, axis=1)
+        fit[:-2] -= lam * q0[:, None] * z
+        fit[1:-1] -= lam * q1[:, None] * z
+        fit[2:] -= lam * q2[:, None] * z
+        trace = lam * (self.qq[0] @ s0[:m] + 2 * (self.qq[1] @ s1[: max(0, m - 1)]) + 2 * (self.qq[2] @ s2[: max(0, m - 2)]))
         return fit, trace
 
     def fit(self, spar: float | None = None) -> tuple[np.ndarray, float]:
-        """Fitted values and the spar used."""
+        """Fitted values and the spar used: the given one, or that of least cross-validation score in -1.5..1.5 to 1e-4."""
         if self.small:
             return self.y.copy(), spar if spar is not None else 0.0
-        of = lambda s: self._solve(self.ratio * 256 ** (3 * s - 1))
+        of = lambda s: self._solve(self.ratio * 256 ** (3 * np.atleast_1d(s) - 1))
         if spar is not None:
-            return of(spar)[0], float(spar)
-
-        def score(s: float) -> float:
-            fit, trace = of(s)
-            return self.n * float(((self.y - fit) ** 2).sum()) / max(trace, 1e-12) ** 2
-
-        lo, hi, g = -1.5, 1.5, (np.sqrt(5) - 1) / 2
-        c, d = hi - g * (hi - lo), lo + g * (hi - lo)
-        fc, fd = score(c), score(d)
-        while hi - lo > 1e-4:
-            if fc < fd:
-                hi, d, fd = d, c, fc
-                c = hi - g * (hi - lo)
-                fc = score(c)
-            else:
-                lo, c, fc = c, d, fd
-                d = lo + g * (hi - lo)
-                fd = score(d)
-        best = (lo + hi) / 2
-        return of(best)[0], float(best)
+            return of(spar)[0][:, 0], float(spar)
+        lo, hi = -1.5, 1.5
+        while True:
+            tried = np.linspace(lo, hi, 25)
+            fit, trace = of(tried)
+            best = int((((self.y[:, None] - fit) ** 2).sum(axis=0) / np.maximum(trace, 1e-12) ** 2).argmin())
+            if hi - lo <= 24e-4:
+                return fit[:, best], float(tried[best])
+            lo, hi = float(tried[max(0, best - 1)]), float(tried[min(24, best + 1)])

@@ -3,6 +3,7 @@
 import random
 import warnings
 
+import numpy as np
 import pytest
 
 from oxyframe.errors import SignalError, SignalWarning
@@ -216,3 +217,42 @@ def test_conditions(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         filters.moving_average(vector(spark, [1.0, 2.0, 3.0, 4.0], checks=True), width=2)
+
+
+def test_long_series_in_blocks_are_exact():
+    rng = np.random.default_rng(2)
+    for n in (100, 8192, 20011):
+        x = np.cumsum(rng.normal(size=n))
+        for order, cutoff, kind in ((2, 0.1, "low"), (4, (0.05, 0.3), "pass"), (1, 0.5, "high")):
+            b, a = kernels.butterworth(order, cutoff, kind)
+            for steady in (False, True):
+                plain = kernels.recurse(b, a, x, steady, long=1 << 60)
+                assert np.allclose(kernels.recurse(b, a, x, steady, long=64), plain, rtol=1e-7, atol=1e-7)
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 12, 64])
+def test_spline_against_dense_matrices(n):
+    """The banded system against the same minimisation with whole matrices, and its choice of spar against a fine grid."""
+    rng = np.random.default_rng(n)
+    t = np.sort(rng.uniform(0, 9, n))
+    y = np.sin(t) + rng.normal(size=n) / 4
+    h = np.diff((t - t[0]) / (t[-1] - t[0]))
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        q[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        r[j, j] = (h[j] + h[j + 1]) / 3
+        if j:
+            r[j, j - 1] = r[j - 1, j] = h[j] / 6
+    spline = kernels.Spline(t, y)
+
+    def dense(s):
+        lam = spline.ratio * 256 ** (3 * s - 1)
+        return np.eye(n) - lam * q @ np.linalg.solve(r + lam * q.T @ q, q.T)
+
+    for s in (-0.4, 0.0, 0.3, 0.7, 1.1):
+        assert np.allclose(spline.fit(s)[0], dense(s) @ y, atol=1e-8)
+        assert np.isclose(spline._solve(np.array([spline.ratio * 256 ** (3 * s - 1)]))[1][0], n - np.trace(dense(s)), atol=1e-6)
+    if n >= 12:
+        score = lambda s: (((dense(s) - np.eye(n)) @ y) ** 2).sum() / (n - np.trace(dense(s))) ** 2
+        fit, chosen = spline.fit()
+        assert score(chosen) <= min(map(score, np.arange(-1.4, 1.5, 0.02))) + 1e-9 and np.allclose(fit, dense(chosen) @ y, atol=1e-8)
