@@ -49,6 +49,17 @@ def palette(which: int | Sequence[str] | None = None) -> list[str]:
     return [PALETTE[n] for n in which]
 
 
+def theme(size: int = 12) -> dict[str, Any]:
+    """Vega-Lite configuration of the plots: plain axes, light grid, text of one size."""
+    text = {"labelFontSize": size, "titleFontSize": size, "labelColor": "#222222", "titleColor": "#222222"}
+    return {"view": {"stroke": None}, "axis": {**text, "gridColor": "#E6E6E6", "domainColor": "#222222"}, "legend": text, "header": text}
+
+
+def scale(names: Sequence[str], colours: int | Sequence[str] | None = None) -> dict[str, list[str]]:
+    """A colour scale that maps channels, in their order, to the palette's colours or those named."""
+    return {"domain": list(names), "range": palette(colours or len(names))}
+
+
 def plot_data(sf: SignalFrame, channels: Any = None, drop_null: bool = False) -> DataFrame:
     """series, _i, time, channel, value: one row for each drawn point."""
     names, time = sf.channel_names(channels, "plot_data"), sf.time_name(None, "plot_data")
@@ -57,12 +68,15 @@ def plot_data(sf: SignalFrame, channels: Any = None, drop_null: bool = False) ->
     return long.where("value is not null") if drop_null else long
 
 
-def vega_lite(sf: SignalFrame, channels: Any = None, points: bool = False, most: int = 5000) -> str:
-    """A Vega-Lite description of the lines, a panel for each series; at most ``most`` points are drawn."""
-    rows = plot_data(sf, channels).orderBy(SERIES, ROW).limit(most).collect()
+def vega_lite(sf: SignalFrame, channels: Any = None, points: bool = False, most: int = 100_000) -> str:
+    """A Vega-Lite description of the lines, a panel for each series, with every point; above ``most`` points an error asks to resample."""
+    rows = plot_data(sf, channels).orderBy(SERIES, ROW).limit(most + 1).collect()
+    if len(rows) > most:
+        raise SignalError(f"more than {most} points to draw; resample or select series first", "vega_lite")
     names = sf.channel_names(channels, "plot")
     spec = {
         "$schema": "https://vega.github.io/schema/vega-lite/v5.json",
+        "config": theme(),
         "data": {"values": [{"series": r[SERIES], "time": r["time"], "channel": r["channel"], "value": r["value"]} for r in rows]},
         "facet": {"row": {"field": "series", "type": "nominal"}},
         "spec": {
@@ -70,7 +84,7 @@ def vega_lite(sf: SignalFrame, channels: Any = None, points: bool = False, most:
             "encoding": {
                 "x": {"field": "time", "type": "quantitative"},
                 "y": {"field": "value", "type": "quantitative"},
-                "color": {"field": "channel", "type": "nominal", "scale": {"domain": names, "range": palette(len(names))}},
+                "color": {"field": "channel", "type": "nominal", "scale": scale(names)},
             },
         },
     }

@@ -73,6 +73,33 @@ def moving_average(sf: SignalFrame, channels: Any = None, time_channel: Any = No
     return sf._new(df.select(*map(W.q, columns)), channels=names)
 
 
+def local_fun(sf: SignalFrame, channels: Any = None, fun: Any = "avg", time_channel: Any = None, width=None, span=None, align: str = "centre", verbose: bool = True) -> SignalFrame:
+    """``fun`` of the finite values in each sample's window: the name of a SQL aggregate, or a function from a list to a number.
+
+    A function runs in Python workers, by Arrow batches of windows; a window without values gives null.
+    """
+    func = "local_fun"
+    names = sf.channel_names(channels, func)
+    width, span = A.width_span(width, span, func, verbose)
+    time = sf.time_name(time_channel, func) if span is not None else ROW
+    df = _with(sf.df, {c: W.clean(c) for c in names})
+    frame = W.over(time, width, span, align)
+    if isinstance(fun, str):
+        if not re.fullmatch(r"[A-Za-z_]+", fun):
+            raise SignalError(f"'fun' must name a SQL aggregate, not {fun!r}", func)
+        df = _with(df, {c: f"cast({fun}({W.q(c)}) OVER {frame} as double)" for c in names})
+    else:
+        ship(sf.df.sparkSession)
+
+        @F.pandas_udf("double")
+        def apply(windows: pd.Series) -> pd.Series:
+            return windows.map(lambda w: float(fun(list(w))) if len(w) else None)
+
+        df = _with(df, {c: f"collect_list({W.q(c)}) OVER {frame}" for c in names})
+        df = df.select(*[apply(F.col(W.q(c))).alias(c) if c in names else F.col(W.q(c)) for c in df.columns])
+    return sf._new(df.select(*map(W.q, sf.df.columns)), channels=names)
+
+
 def _kernel(sf: SignalFrame, time: str, plans: dict[str, tuple]) -> SignalFrame:
     """One pass over each series for all channels that need a kernel.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -406,6 +407,51 @@ def read_example(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(zip(*(p.columns[c] for c in ("time", "smo2", "lap")), strict=True)), "time double, smo2 double, lap int")
 
 
+def _files(spark: SparkSession, d: str, head: str, row: str) -> DataFrame:
+    """Each embedding as a device's export: lines of text before the header, then a line a sample."""
+    lines = vectors(spark, d).df.selectExpr("vec_id", ROW, f"{row} as line").groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct(ROW, "line"))).alias("lines"))
+    return lines.selectExpr("concat('/export/', vec_id, '.csv') as path", f"cast(concat('{head}', array_join(transform(lines, x -> x.line), '\\n')) as binary) as content")
+
+
+def _parsed(files: DataFrame, *args: Any, **kw: Any) -> DataFrame:
+    sf = recording.parse_recordings(files, *args, describe=True, **kw)
+    return out(sf.df, f"{SERIES} as series", f"{ROW} as i", "time", *sf.meta.channels, "lap", "device", "rate")
+
+
+_FILE = "CAST(vec_id AS VARCHAR) AS series, CAST(i AS BIGINT) AS i"
+
+
+@_add(f"WITH {E} SELECT vec_id, i, {_r(f'max(z) OVER {_rows(3, 3)} - min(z) OVER {_rows(3, 3)}', 'z')}, {_r(f'stddev_samp(x) OVER {_near(0.25)}', 'x')} FROM e")
+def local_functions(spark: SparkSession, d: str) -> DataFrame:
+    """A Python function of each window by samples, a SQL aggregate of each by time."""
+    sf = filters.local_fun(vectors(spark, d), "z", lambda w: max(w) - min(w), width=7)
+    return out(filters.local_fun(sf, "x", "stddev_samp", span=0.5).df, "vec_id", "i", "z", "x")
+
+
+@_add(f"""WITH {E} SELECT {_FILE}, CAST(2 * i AS DOUBLE) AS "time", CAST(round(x * 100) AS DOUBLE) / 100 + CAST(0 AS DOUBLE) AS smo2, CAST(lap AS VARCHAR) AS lap, 'Moxy' AS device, CAST(0.5 AS DOUBLE) AS rate FROM e""")
+def read_times_of_day(spark: SparkSession, d: str) -> DataFrame:
+    """Times of day, which count from the first one; text before the header; a rate below one."""
+    head = "\\n FW 12\\n \\nmm-dd,hh:mm:ss,SmO2 Live,SmO2 Averaged,THb,Lap,Session Ct\\n"
+    at = "47833 + 2 * i"
+    row = f"concat('06-Feb,', format_string('%02d:%02d:%02d', ({at}) div 3600, ({at}) % 3600 div 60, ({at}) % 60), ',', cast(round(x * 100) as bigint) / 100, ',1,12.1,', lap, ',1')"
+    return _parsed(_files(spark, d, head, row), {"smo2": "SmO2 Live"}, event_channel={"lap": "Lap"})
+
+
+@_add(f"""WITH {E} SELECT {_FILE}, CAST(i AS DOUBLE) / 10 AS "time", CAST(round(x * 100) AS DOUBLE) / 100 + CAST(0 AS DOUBLE) AS l, CAST(round(y * 100) AS DOUBLE) / 100 + CAST(0 AS DOUBLE) AS r, CASE WHEN i % 8 = 0 THEN CAST(lap AS VARCHAR) END AS lap, 'Train.Red' AS device, CAST(10 AS DOUBLE) AS rate FROM e""")
+def read_repeated_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Two columns of one heading, empty events, times from zero."""
+    head = "Device,Train\\nTimestamp (seconds passed),Lap/Event,SmO2,SmO2\\n"
+    row = "concat(cast(100.1BD + i * 0.1BD as decimal(9, 1)), ',', if(i % 8 = 0, cast(lap as string), ''), ',', cast(round(x * 100) as bigint) / 100, ',', cast(round(y * 100) as bigint) / 100)"
+    return _parsed(_files(spark, d, head, row), {"l": "SmO2", "r": "SmO2"}, event_channel={"lap": "Lap/Event"}, zero_time=True)
+
+
+@_add(f"""WITH {E} SELECT {_FILE}, CAST(i + 1 AS DOUBLE) AS "time", CASE WHEN z IS NULL THEN NULL ELSE CAST(round(z * 100) AS DOUBLE) / 100 + CAST(0 AS DOUBLE) END AS smo2, '70' AS lap, 'VO2master' AS device, CAST(1 AS DOUBLE) AS rate FROM e""")
+def read_decimal_commas(spark: SparkSession, d: str) -> DataFrame:
+    """Quoted decimal commas and empty cells."""
+    row = "concat(i + 1, ',00:00:01,70,\"', coalesce(replace(cast(cast(round(z * 100) as bigint) / 100 as string), '.', ','), ''), '\"')"
+    return _parsed(_files(spark, d, "Time[s],Time[hh:mm:ss],HR[bpm],SmO2[%]\\n", row), {"smo2": "SmO2[%]"}, event_channel={"lap": "HR[bpm]"})
+
+
 @_add("""SELECT event_type AS series, time_bucket(INTERVAL 1 DAY, ts) AS "begin", round(avg(CASE WHEN value >= 40 THEN NULL ELSE value END), 6) + CAST(0 AS DOUBLE) AS mean, count(*) AS n FROM events GROUP BY ALL""")
 def stream_daily_mean(spark: SparkSession, d: str) -> DataFrame:
     """A stream over the events, run to its end."""

@@ -27,6 +27,15 @@ def test_many_files(spark, tmp_path):
     assert sf.names() == ["f0", "f1", "f2"] and sf.df.count() == 360
 
 
+def test_many_files_with_all_options(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"f{k}.csv").write_bytes(recording.example("ramp"))
+    sf = recording.read_recordings(spark, str(tmp_path), event_channel={"lap": "Lap"}, add_timestamp=True, keep_all=True, describe=True)
+    row = sf.df.orderBy("series", "_i").first()
+    assert sf.meta.channels == ("SmO2 Live",) and row.device == "Moxy" and row.rate == 0.5 and row.others["THb"].startswith("12") and row.timestamp is not None
+    assert sf.estimated_rate() == 0.5
+
+
 def test_quoted_decimal_commas_and_names():
     body = b'Time[s],Time[hh:mm:ss],SmO2[%],SmO2 -  2[%]\n1,00:00:01,"0,00","40,90"\n2,00:00:02,"13,80",\n3,00:00:03,"x","1"\n'
     rows = tables.cells(body, "a.csv")
