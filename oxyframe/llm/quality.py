@@ -2,12 +2,13 @@
 
 Features are hashed indicators of a text's words, pairs of words and runs of one to
 three word shapes (capitals, digits, symbols, same as the word before). Each is
-scaled by the log-count ratio of the two classes; a linear hinge-loss model is then
+scaled by the log ratio of the shares of the two classes' documents that hold it (an
+indicator has no counts to normalise by); a linear hinge-loss model is then
 fitted by dual coordinate descent. Features of the sampled rows are taken on the
 executors; the model is one vector of 2**FEATURE_BITS weights, whatever the corpus.
 
 Fitting takes at most ``sample`` labelled rows, those of the smallest hash of
-``doc_id``. Scores read the whole text and nothing else.
+``doc_id``, each as 32 KB of features at most. Scores read the whole text and nothing else.
 
 Edge cases: null counts as empty, which has no features and scores by the bias alone.
 Labels other than 0 and 1 and null ids are left out of the sample. With no labelled
@@ -69,15 +70,33 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.stack([(B.mix(k.copy()) >> B.U(64 - FEATURE_BITS)).astype(np.int32) for k in kinds]), at
 
 
+_MAP = (1 << FEATURE_BITS) // 8
+
+
+def packed(found: np.ndarray) -> bytes:
+    """A set of features as a list, or as a bitmap where that is shorter: 32 KB at most, however long the text."""
+    if 4 * len(found) <= _MAP:
+        return b"l" + found.tobytes()
+    bits = np.zeros(1 << FEATURE_BITS, bool)
+    bits[found] = True
+    return b"m" + np.packbits(bits).tobytes()
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    if body[:1] == b"l":
+        return np.frombuffer(body, np.int32, offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8, offset=1))).astype(np.int32)
+
+
 def _sampled(batches):
     for batch, data, off in B.rows_of(batches):
         f, at = features(data, off)
-        sets = [np.unique(f[:, at[i] : at[i + 1]]).astype(np.int32).tobytes() for i in range(len(off) - 1)]
+        sets = [packed(np.unique(f[:, at[i] : at[i + 1]]).astype(np.int32)) for i in range(len(off) - 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["label", "features"])
 
 
-def fit_arrays(sets: list[np.ndarray], labels: list[int], cost: float = COST, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights of the features and the bias."""
+def fit_arrays(sets: list[bytes], labels: list[int], cost: float = COST, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights of the features and the bias, from packed sets, of which one at a time is unpacked."""
     weight = np.zeros(1 << FEATURE_BITS)
     y = np.where(np.asarray(labels) == 1, 1.0, -1.0)
     if len(set(labels)) < 2:
@@ -87,14 +106,19 @@ def fit_arrays(sets: list[np.ndarray], labels: list[int], cost: float = COST, ro
         c = np.zeros(1 << FEATURE_BITS)
         for x, label in zip(sets, y, strict=True):
             if label == sign:
-                c[x] += 1
+                c[unpacked(x)] += 1
         total[sign] = c
     seen = total[1.0] + total[-1.0] > 0
     p, q = 1 + total[1.0], 1 + total[-1.0]
     # Of each class the share of its documents that hold the feature.
     ratio = np.where(seen, np.log((p / (2 + (y > 0).sum())) / (q / (2 + (y < 0).sum()))), 0.0)
-    scaled = [ratio[x] / np.sqrt(max(1, len(x))) for x in sets]
-    norm = np.array([v @ v + 1.0 for v in scaled])
+
+
+    def scaled(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+        x = unpacked(body)
+        return x, ratio[x] / np.sqrt(max(1, len(x)))
+
+    norm = np.array([v @ v + 1.0 for _, v in map(scaled, sets)])
     # Both classes carry the same cost in all.
     limit = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum()))
     alpha, bias = np.zeros(len(y)), 0.0
@@ -102,7 +126,7 @@ def fit_arrays(sets: list[np.ndarray], labels: list[int], cost: float = COST, ro
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(y)):
-            x, v = sets[i], scaled[i]
+            x, v = scaled(sets[i])
             slope = y[i] * (weight[x] @ v + bias) - 1.0
             new = min(max(alpha[i] - slope / norm[i], 0.0), limit[i])
             step = (new - alpha[i]) * y[i]
@@ -132,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text").mapInArrow(_sampled, "label int, features binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["features"])))
-    return fit_arrays([np.frombuffer(bytes(r["features"]), np.int32) for r in rows], [r["label"] for r in rows])
+    return fit_arrays([bytes(r["features"]) for r in rows], [r["label"] for r in rows])
 
 
 def _scores(model, names: list[str], text_at: int, keep_from: float | None):

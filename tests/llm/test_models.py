@@ -73,7 +73,9 @@ def test_quality_odd_rows(spark, docs_of):
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(1)
     sets = [np.unique(np.append(rng.integers(10, 500, 20), 3 if k % 2 else 4)).astype(np.int32) for k in range(200)]
-    weight, bias = quality.fit_arrays(sets, [k % 2 for k in range(200)])
+    weight, bias = quality.fit_arrays([quality.packed(x) for x in sets], [k % 2 for k in range(200)])
+    many = np.arange(0, 1 << quality.FEATURE_BITS, 3, dtype=np.int32)
+    assert all((quality.unpacked(quality.packed(x)) == x).all() for x in (many, sets[0], many[:0])) and len(quality.packed(many)) <= 32769
     assert np.mean([(weight[x].sum() / np.sqrt(len(x)) + bias > 0) == (k % 2 == 1) for k, x in enumerate(sets)]) > 0.97
 
 
