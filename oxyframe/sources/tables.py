@@ -16,8 +16,7 @@ Cells = list[list[str | None]]
 def delimited(body: bytes) -> Cells:
     """Rows of a text file; a tab in the first ten lines makes it tab-separated, else commas.
 
-    Rows are as wide as the one with most separators among the last fifty; longer ones
-    keep their cells, shorter ones are filled with None. Quotes protect separators.
+    Rows are as wide as the widest; shorter ones are filled with None. Quotes protect separators.
     """
     text = body.decode("utf-8-sig", "replace") if not body.startswith((b"\xff\xfe", b"\xfe\xff")) else body.decode("utf-16")
     lines = [re.sub(r'\s*"\s*', '"', line).strip() for line in text.splitlines()]
