@@ -49,7 +49,7 @@ def resample(sf: SignalFrame, time_channel: Any = None, sample_rate: float | Non
     others = [c for c in columns if c not in numeric]
 
     g = grid(sf, time, rate)
-    points = g.selectExpr(SERIES, "_lo", "_n", "_count", "explode(sequence(0L, _n)) as _j").selectExpr(SERIES, "_j", f"_lo + _j * {1 / rate!r}D as {t}")
+    points = g.selectExpr(SERIES, "_lo", "_n + 1 < _count as _coarse", "explode(sequence(0L, _n)) as _j").selectExpr(SERIES, "_j", "_coarse", f"_lo + _j * {1 / rate!r}D as {t}")
     values = {f"_v{k}": f"avg({W.clean(c)}) OVER {W.tied(time)}" for k, c in enumerate(numeric)}
     row = "named_struct('t', cast(" + t + " as double), 'i', " + ROW + "".join(f", 'c{k}', {W.q(c)}" for k, c in enumerate(others)) + ")"
     source = sf.df.where(f"{t} is not null").selectExpr(SERIES, ROW, "cast(null as bigint) as _j", f"cast({t} as double) as {t}", f"{row} as _row", *[f"{e} as {n}" for n, e in values.items()])
@@ -72,13 +72,14 @@ def resample(sf: SignalFrame, time_channel: Any = None, sample_rate: float | Non
     else:
         stood = {c: f"coalesce(_a, _b).c{k}" for k, c in enumerate(others)}
         filled = {c: interpolate(f"_a{k}", f"_b{k}", time, method) for k, c in enumerate(numeric)}
-        out = two.selectExpr(SERIES, f"_j as {ROW}", *[t if c == time else f"{(filled | stood)[c]} as {W.q(c)}" for c in sf.data_columns])
-        if others:
+        out = two.selectExpr(SERIES, f"_j as {ROW}", *[t if c == time else f"{(filled | stood)[c]} as {W.q(c)}" for c in sf.data_columns], "_coarse")
+        if not others:
+            out = out.drop("_coarse")
+        else:
             step = f"cast(least(greatest(floor(bround(({t} - _lo) * {rate!r}D, 9)), 0), _n) as bigint)"
             binned = sf.df.join(g, SERIES).where(f"_n + 1 < _count and {t} is not null").withColumn("_bin", F.expr(step))
             firsts = binned.groupBy(SERIES, "_bin").agg(*[F.expr(f"min_by({W.q(c)}, {ROW}) filter (where {W.q(c)} is not null)").alias(f"_f{k}") for k, c in enumerate(others)])
-            coarse = g.selectExpr(f"{SERIES} as _s", "_n + 1 < _count as _coarse")
-            joined = out.join(coarse, F.col(SERIES) == F.col("_s")).drop("_s").join(firsts.withColumnRenamed("_bin", ROW), [SERIES, ROW], "left")
+            joined = out.join(firsts.withColumnRenamed("_bin", ROW), [SERIES, ROW], "left")
             out = joined.selectExpr(SERIES, ROW, *[f"case when _coarse then _f{others.index(c)} else {W.q(c)} end as {W.q(c)}" if c in others else W.q(c) for c in sf.data_columns])
     inform(f"output is resampled at {rate:g} Hz", func, verbose)
     return sf._new(out, time_channel=time, sample_rate=rate)
