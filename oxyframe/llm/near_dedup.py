@@ -414,23 +414,34 @@ def salted(large: DataFrame, few: DataFrame, key: str, how: str = "inner", salts
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root for every node of the links (a, b); the root is the least node of a component."""
+    """node, root for every node of the links (a, b); the root is the least node of a component.
+
+    What a round makes is gathered into as many partitions as its rows need: a round over few edges is not
+    a task and its files for each partition of a shuffle that the documents need.
+    """
     edges = spread.cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     labels = links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    first = True
-    while not edges.isEmpty():
+    first, nodes = True, 0
+    while n := edges.count():
+        nodes = nodes or 2 * n  # at most, of all rounds
+        edges = spread.gathered(edges, n)
         both = edges.union(edges.select("b", "a"))
-        up = spread.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+        up = spread.cut(spread.gathered(up, 2 * n))
         while True:
             # Pointers of those that are no roots; where none of them is pointed to, all point to roots.
             on = up.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("top"))
-            if salted(up, on, "root").isEmpty():
+            if spread.gathered(salted(up, on, "root"), 2 * n).isEmpty():
                 break
-            up = spread.cut(salted(up, on, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            up = spread.cut(spread.gathered(salted(up, on, "root", "left").select("node", F.coalesce("top", "root").alias("root")), 2 * n))
         one = salted(edges, up.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").select("x", "b")
         two = salted(one, up.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = spread.cut(two.where("a <> b").distinct())
-        labels = up if first else spread.cut(salted(labels, up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        edges = spread.cut(spread.gathered(two.where("a <> b").distinct(), n))
+        if first:
+            labels = up
+        else:
+            moved = salted(labels, up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+            labels = spread.cut(spread.gathered(moved.select("node", F.coalesce("top", "root").alias("root")), nodes))
         first = False
     return labels
 

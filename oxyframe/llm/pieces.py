@@ -289,6 +289,7 @@ def _plain(sent):
             for i, j in B.slices(lengths):
                 texts = [t or "" for t in batch.column(1)[i:j].to_pylist()]
                 yield _batch([_row(v, d, t, ids) for d, t, ids in zip(batch.column(0)[i:j].to_pylist(), texts, v.sp.encode(texts, num_threads=1), strict=True)])
+        B.release()
 
     return run
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, folder, shared_dir, ship
 
-__all__ = ["apart", "cut", "folder", "free", "shared_dir", "table", "written"]
+__all__ = ["apart", "cut", "folder", "free", "gathered", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+ROWS_A_PART = 50_000  # short rows that make a partition worth its task
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most so many short rows, in the partitions they need: two a core, or more where the rows are many."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_PART)))
+
+
 def apart(doc_id: str = "doc_id") -> tuple[Column, Column]:
     """Two join keys of a document: its id and 0, or where that is null a number of the row's own.
 

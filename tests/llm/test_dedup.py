@@ -203,3 +203,18 @@ def test_star_rounds(spark):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     assert got == {x: find(x) for e in edges for x in e}
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """A round over few edges is not a task for each partition of the shuffle."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 400, 2)] + [(i, i + 2) for i in range(0, 100, 2)], "a long, b long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 61)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = near_dedup.components(edges)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert len({r.root for r in found.collect()}) == 150 and found.count() == 400
