@@ -17,9 +17,10 @@ depend on the texts beside it.
 Bit counts come from every training text: each task sums its own tables and sends them
 in parts, which are added up by part. Tables have 2**TABLE_BITS places a predictor
 whatever the corpus (hashed contexts share places); the word counts grow with the
-corpus. The prefix code, gated weights and first map are fitted on at most ``sample``
-training texts (of the smallest hash of doc_id, whole, of at most SAMPLE_BYTES
-together, none over an eighth of that), with each text's own counts taken out.
+corpus. Three passes over the training texts fit a model: one counts the bytes after
+each pair of bytes, for the prefix code; one the bits; one takes the three log odds of
+every bit, its text's own counts taken out, to the nearest 1 / STEPS, and counts them by
+gate. Gated weights (by Newton's method) and the first map are fitted on those counts.
 
 A block of texts sends each range of word hashes its distinct words once, with counts;
 sums come back to the blocks. So a word that all texts hold is one entry a block.
@@ -47,9 +48,9 @@ from . import bytesops as B
 from .spread import cut
 
 TABLE_BITS = 21
-SAMPLE = 400
-SAMPLE_BYTES = 4 << 20
-CODE_SHARE = 1e-3  # of the sample's bytes: two bytes as common choose a code of their own
+ROUNDS = 12  # steps of the weights' fit, which changes them little after half as many
+STEPS, LEVELS = 2, 33  # log odds are fitted on in halves, from -8 to 8
+CODE_SHARE = 1e-3  # of the training bytes: two bytes as common choose a code of their own
 BLOCK = 256  # bytes that a text's own weights and map stay the same for; divides WINDOW
 WINDOW = 1 << 20
 RATE, MAP_RATE = 0.05, 0.02
@@ -105,20 +106,20 @@ def _lengths_and_paths(freq: np.ndarray) -> list[tuple[tuple[int, int], ...]]:
 class Code:
     """A prefix code for the bytes after each pair of bytes, fixed before counting.
 
-    Pairs that are common in the sample have their own, others that of their last byte.
+    Pairs that are common in the texts have their own, others that of their last byte.
+    ``counted`` are triples (byte before the last one, last byte, byte) as one number, and how often each came.
     """
 
-    def __init__(self, sample: list[bytes]):
-        last, two, byte = [], [], []
-        for body in sample:
-            x = np.frombuffer(bytes([END] * _PAD) + body, np.uint8).astype(np.int64)
-            byte.append(x[_PAD:])
-            last.append(x[_PAD - 1 : -1])
-            two.append(x[_PAD - 1 : -1] | (x[_PAD - 2 : -2] << 8))
-        byte, last, two = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (byte, last, two))
-        every = np.bincount(byte, minlength=256)
-        count = np.bincount(two, minlength=1 << 16)
-        common = np.flatnonzero(count > max(200, CODE_SHARE * len(byte)))
+    def __init__(self, texts: list[bytes], counted: tuple[np.ndarray, np.ndarray] | None = None):
+        if counted is None:
+            data = [np.frombuffer(bytes([END] * _PAD) + body, np.uint8).astype(np.int64) for body in texts]
+            key = [x[_PAD - 2 : -2] << 16 | x[_PAD - 1 : -1] << 8 | x[_PAD:] for x in data]
+            counted = np.unique(np.concatenate(key or [np.zeros(0, np.int64)]), return_counts=True)
+        key, n = counted
+        byte, last, two = key & 255, key >> 8 & 255, key >> 8 & 255 | key >> 16 << 8
+        two_sum = np.bincount(two, n, 1 << 16)
+        every = np.bincount(byte, n, 256)
+        common = np.flatnonzero(two_sum > max(200, CODE_SHARE * n.sum()))
         self.which = np.zeros(1 << 16, np.int32)
         tables = [every]
         order = np.argsort(last, kind="stable")
@@ -126,16 +127,17 @@ class Code:
         for b in range(256):
             if ends[b + 1] > ends[b]:
                 self.which[np.arange(256) * 256 + b] = len(tables)
-                tables.append(np.bincount(byte[order[ends[b] : ends[b + 1]]], minlength=256))
+                own = order[ends[b] : ends[b + 1]]
+                tables.append(np.bincount(byte[own], n[own], 256))
         order = np.argsort(two, kind="stable")
         for pair in common.tolist():
-            a, e = np.searchsorted(two[order], [pair, pair + 1])
+            own = order[slice(*np.searchsorted(two[order], [pair, pair + 1]))]
             self.which[pair] = len(tables)
-            tables.append(np.bincount(byte[order[a:e]], minlength=256))
+            tables.append(np.bincount(byte[own], n[own], 256))
         start, size, steps = [], [], []
         at = 0
         for t in tables:
-            # A byte not seen here has a way by its share of the whole sample.
+            # A byte not seen here has a way by its share of all bytes.
             for way in _lengths_and_paths(t * 64 + np.rint(every * 63 / max(1, every.sum())).astype(np.int64) + 1):
                 start.append(at)
                 size.append(len(way))
@@ -154,6 +156,7 @@ class Stream:
     """Coded bytes of some texts, each byte's way in the code and its contexts.
 
     A window of one text goes on from ``carry``, what the window before it left in ``left``.
+    Without a code only the bytes are made.
     """
 
     def __init__(self, low: np.ndarray, off: np.ndarray, ended: np.ndarray, code: Code | None = None, carry: tuple | None = None):
@@ -182,6 +185,9 @@ class Stream:
         out[new[1:][ended > 0] - 1] = END
         self.bytes, self.begin, self.end = out, new[:-1] + _PAD, new[1:]
         m = len(out)
+        if code is None:
+            self.left = (out[m - _PAD :], 0, 0, 0)
+            return
         index = np.arange(m, dtype=np.int32)
         stop = (out == 0x20) | (out == END)
         start = np.zeros(m, np.int32)
@@ -224,12 +230,11 @@ class Stream:
         two[2:] = b[1:-1] | (b[:-2] << U32(8))
         four = two.copy()
         four[2:] |= two[:-2] << U32(16)
-        if code is not None:
-            # A context counts for one code only.
-            which = code.which[two]
-            self.code, self.way = code, which * 256 + out
-            own = which.astype(U32) * U32(0x9E3779B1)
-            four, prefix, before = four + own, prefix + own, before ^ own
+        # A context counts for one code only.
+        which = code.which[two]
+        self.code, self.way = code, which * 256 + out
+        own = which.astype(U32) * U32(0x9E3779B1)
+        four, prefix, before = four + own, prefix + own, before ^ own
         mixed = [(four ^ (four >> U32(15))) * _MUL[0], prefix * _MUL[1], (prefix + before * U32(0x2545F491)) * _MUL[2]]
         self.context = [m ^ (m >> U32(16)) for m in mixed]
         self.gate = np.minimum(far, 3) * 8
@@ -377,7 +382,7 @@ class Model:
         return np.concatenate(out)
 
 
-def windows(low: np.ndarray, code: Code, window: int = WINDOW) -> Iterator[Stream]:
+def windows(low: np.ndarray, code: Code | None, window: int = WINDOW) -> Iterator[Stream]:
     """Streams of one long text whose coded windows, of whole blocks but for the last, join without a seam."""
     carry = None
     solid = B.NOT_SPACE[low].astype(bool)
@@ -391,39 +396,31 @@ def windows(low: np.ndarray, code: Code, window: int = WINDOW) -> Iterator[Strea
         yield s
 
 
-def fit(samples: list[str], counts: list[np.ndarray], code: Code) -> Model:
-    """Weights and probability map from the sample's texts, each without its own counts."""
-    parts = []
-    for text in samples:
-        data = LOW[np.frombuffer(text.encode(), np.uint8)]
-        s = Stream(data, np.array([0, len(data)]), np.ones(1, np.int64), code)
-        bits = Bits(s, np.arange(s.begin[0], s.end[0]))
-        st = []
-        for k in range(K):
-            slot = bits.slots(s.context[k][bits.pos])
-            u, back = np.unique(slot, return_inverse=True)
-            own1 = np.bincount(back, weights=bits.bit)
-            own0 = np.bincount(back) - own1
-            st.append(log_odds(np.maximum(counts[k][u, 0] - own0, 0), np.maximum(counts[k][u, 1] - own1, 0))[back].astype(np.float32))
-        parts.append((np.stack(st), bits.gates(), bits.bit))
-    weight = np.full((K, GATES), 0.4, np.float32)
-    squares = np.full((K, GATES), 1e-2)
-    # Online: a step after each text, each gate's steps scaled by its past gradients.
-    for _ in range(3):
-        for st, gate, bit in parts:
-            p = 1 / (1 + np.exp(-sum(weight[k][gate] * st[k] for k in range(K))))
-            wrong = bit - p
-            n = np.maximum(1, np.bincount(gate, minlength=GATES))
-            for k in range(K):
-                g = np.bincount(gate, weights=wrong * st[k], minlength=GATES) / n
-                squares[k] += g * g
-                weight[k] += 0.1 * g / np.sqrt(squares[k])
+def fit(cells: np.ndarray, counts: list[np.ndarray], code: Code, rounds: int = ROUNDS) -> Model:
+    """Weights and probability map from the counts of bits by gate and log odds (``_cells``)."""
+    of = cells.reshape(-1, 2)
+    some = np.flatnonzero(of.any(axis=1))
+    n, ones = of[some].sum(axis=1).astype(np.float64), of[some, 1].astype(np.float64)
+    gate = some // LEVELS**K
+    st = np.stack([(some // LEVELS**k % LEVELS - LEVELS // 2) / STEPS for k in range(K)])
+    weight = np.full((K, GATES), 0.4)
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        return np.bincount(gate, x, GATES)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(weight[:, gate] * st).sum(axis=0)))
+        curve = n * p * (1 - p)
+        # As if each gate had a little that speaks for 0.4.
+        slope = np.stack([summed((ones - n * p) * st[k]) for k in range(K)], axis=1) - (weight.T - 0.4)
+        bend = np.stack([np.stack([summed(curve * st[j] * st[k]) for k in range(K)], axis=1) for j in range(K)], axis=1) + np.eye(K)
+        weight += np.clip(np.linalg.solve(bend, slope[:, :, None])[:, :, 0].T, -0.5, 0.5)
+    weight = weight.astype(np.float32)
     middle = 1 / (1 + np.exp(-(np.arange(BUCKETS) - 31.5) / 4))
     hits = np.tile(np.stack([1 - middle, middle]) * 8, (GATES, 1, 1))
-    for st, gate, bit in parts:
-        x = sum(weight[k][gate] * st[k] for k in range(K))
-        at = np.clip(x * 4 + 32, 0, BUCKETS - 1).astype(np.intp)
-        np.add.at(hits, (gate, bit.astype(np.intp), at), 1)
+    at = np.clip((weight[:, gate] * st).sum(axis=0) * 4 + 32, 0, BUCKETS - 1).astype(np.intp)
+    for bit, came in enumerate((n - ones, ones)):
+        hits[:, bit] += np.bincount(gate * BUCKETS + at, came, GATES * BUCKETS).reshape(GATES, BUCKETS)
     refined = np.clip(hits[:, 1] / hits.sum(axis=1), 1e-5, 1 - 1e-5).astype(np.float32).ravel()
     tables = [np.rint(log_odds(c[:, 0], c[:, 1]) * 16).astype(np.int8) for c in counts]
     return Model(code, tables, weight, refined)
@@ -435,7 +432,7 @@ def is_training(doc_id=None):
     return F.crc32(F.coalesce(doc.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-def _streams(low: np.ndarray, off: np.ndarray, code: Code) -> Iterator[Stream]:
+def _streams(low: np.ndarray, off: np.ndarray, code: Code | None) -> Iterator[Stream]:
     if len(off) == 2 and len(low) > WINDOW:
         yield from windows(low, code)
     else:
@@ -467,8 +464,112 @@ def _tables(sent):
                 slot += bits.bit
                 np.add.at(counts[k], slot, times.take(bits.of))
         for k in range(K):
-            body = counts[k].reshape(-1, 2 * _PART)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(body)) + k * len(body), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in body], pa.binary())], names=["part", "body"])
+            yield _parts(counts[k], k * (len(counts[k]) // (2 * _PART)))
+
+    return run
+
+
+def _parts(counts: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    """The parts of an array of counts that are not all 0, numbered from ``first``."""
+    body = np.pad(counts, (0, -len(counts) % (2 * _PART))).reshape(-1, 2 * _PART)
+    some = np.flatnonzero(body.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(some + first, pa.int32()), pa.array([zlib.compress(body[i].tobytes(), 1) for i in some], pa.binary())], names=["part", "body"])
+
+
+def _triples(batches):
+    """Each task's counts of three bytes on end, in parts."""
+    counts = np.zeros(1 << 24, np.uint32)
+    for _, data, off in B.rows_of(batches, SLICE):
+        for s in _streams(LOW[data], off, None):
+            x = s.bytes.astype(np.int64)
+            np.add.at(counts, (x[:-2] << 16 | x[1:-1] << 8 | x[2:])[s.coded()[2:]], U32(1))
+    yield _parts(counts)
+
+
+class Counts:
+    """Tables of bit counts, sent as compressed parts and opened once in a process."""
+
+    def __init__(self, parts: dict[int, bytes]):
+        self.parts, self.opened = parts, None
+
+    def __getstate__(self):
+        return {"parts": self.parts, "opened": None}
+
+    def tables(self) -> np.ndarray:
+        if self.opened is None:
+            out = np.zeros(K * (2 << TABLE_BITS), np.float32)
+            for part, body in self.parts.items():
+                out[part * 2 * _PART : (part + 1) * 2 * _PART] = np.frombuffer(zlib.decompress(body), np.int64)
+            self.opened = out.reshape(K, -1)
+        return self.opened
+
+
+class _Own:
+    """Counts of one text's bits, beside those of all texts."""
+
+    def __init__(self, tables: np.ndarray):
+        self.every = [t.view(np.uint64) for t in tables]
+        self.counts = [np.zeros(2 << TABLE_BITS, np.float32) for _ in range(K)]
+
+    def add(self, slots: list[np.ndarray], bit: np.ndarray) -> None:
+        for own, slot in zip(self.counts, slots, strict=True):
+            np.add.at(own, slot * 2 + bit, np.float32(1))
+
+    def clear(self, slots: list[np.ndarray]) -> None:
+        for own, slot in zip(self.counts, slots, strict=True):
+            own.view(np.uint64)[slot] = 0
+
+    def levels(self, slots: list[np.ndarray]) -> np.ndarray:
+        """Log odds of bits by the other texts, as one number of their levels."""
+        out = np.zeros(len(slots[0]), np.int64)
+        for k in range(K):
+            n = self.every[k].take(slots[k]).view(np.float32)
+            n -= self.counts[k].view(np.uint64).take(slots[k]).view(np.float32)
+            np.maximum(n, 0, out=n)
+            out += (np.rint(log_odds(n[::2], n[1::2]) * STEPS).astype(np.int64) + LEVELS // 2) * LEVELS**k
+        return out
+
+
+def _cells(sent):
+    """Each task's counts of bits by gate, levels of log odds and the bit, in parts."""
+
+    def run(batches):
+        code, counts = sent.value
+        own = _Own(counts.tables())
+        cells = np.zeros(2 * GATES * LEVELS**K, np.int64)
+
+        def bits_of(s: Stream) -> tuple[Bits, list[np.ndarray]]:
+            bits = Bits(s, np.flatnonzero(s.coded()))
+            return bits, [bits.slots(c[bits.pos]) for c in s.context]
+
+        def count(bits: Bits, levels: np.ndarray) -> None:
+            cells[:] += np.bincount((bits.gates() * LEVELS**K + levels) * 2 + bits.bit, minlength=len(cells))
+
+        for _, data, off in B.rows_of(batches, SLICE):
+            low = LOW[data]
+            if len(off) == 2 and len(low) > WINDOW:
+                for turn in range(2):
+                    for s in windows(low, code):
+                        bits, slots = bits_of(s)
+                        if turn:
+                            count(bits, own.levels(slots))
+                        else:
+                            own.add(slots, bits.bit)
+                for c in own.counts:
+                    c[:] = 0
+                continue
+            s = Stream(low, off, np.ones(len(off) - 1, np.int64), code)
+            bits, slots = bits_of(s)
+            # Every text has its end symbol at least.
+            edge = np.append(bits.first[np.searchsorted(bits.pos, s.begin)], len(bits.of)).tolist()
+            levels = np.empty(len(bits.of), np.int64)
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                mine = [x[a:b] for x in slots]
+                own.add(mine, bits.bit[a:b])
+                levels[a:b] = own.levels(mine)
+                own.clear(mine)
+            count(bits, levels)
+        yield _parts(cells.astype(np.uint32))
 
     return run
 
@@ -481,29 +582,32 @@ def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "body"])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from the training texts of ``docs`` (doc_id, text)."""
-    src = docs.where(is_training()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    drawn = src.where(F.octet_length("text") <= SAMPLE_BYTES // 8).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-    picked, coded, size = [], [], 0
-    for r in drawn.select("text").collect():
-        data = LOW[np.frombuffer(r.text.encode(), np.uint8)]
-        size += len(data)
-        if size > SAMPLE_BYTES:
-            break
-        s = Stream(data, np.array([0, len(data)]), np.ones(1, np.int64))
-        picked.append(r.text)
-        coded.append(s.bytes[_PAD:].tobytes())
-    code = Code(coded)
-    sent = docs.sparkSession.sparkContext.broadcast(code)
-    text = src.select("text")
+def _summed_parts(text: DataFrame, run) -> dict[int, bytes]:
+    """Parts of the tasks' counts, added up over all tasks."""
+    parts = text.mapInArrow(run, "part int, body binary").groupBy("part").applyInArrow(_added, "part int, body binary")
+    return {r.part: bytes(r.body) for r in parts.collect()}
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model from all training texts of ``docs`` (doc_id, text)."""
+    text = docs.where(is_training()).select(F.coalesce("text", F.lit("")).alias("text"))
     # A task sums its tables over several input splits, so that fewer tables move.
-    text = text.coalesce(max(1, -(-text.rdd.getNumPartitions() // 3)))
-    parts = text.mapInArrow(_tables(sent), "part int, body binary").groupBy("part").applyInArrow(_added, "part int, body binary")
-    counts = np.zeros(K * (2 << TABLE_BITS), np.float32)
-    for r in parts.collect():
-        counts[r.part * 2 * _PART : (r.part + 1) * 2 * _PART] = np.frombuffer(zlib.decompress(r.body), np.int64)
-    return fit(picked, [c.reshape(-1, 2) for c in counts.reshape(K, -1)], code)
+    few = text.coalesce(max(1, -(-text.rdd.getNumPartitions() // 3)))
+    context = docs.sparkSession.sparkContext
+    key, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part, body in sorted(_summed_parts(few, _triples).items()):
+        own = np.frombuffer(zlib.decompress(body), np.int64)
+        key.append(np.flatnonzero(own) + part * 2 * _PART)
+        n.append(own[own > 0])
+    code = Code([], (np.concatenate(key), np.concatenate(n)))
+    sent = context.broadcast(code)
+    counts = Counts(_summed_parts(few, _tables(sent)))
+    both = context.broadcast((code, counts))
+    cells = np.zeros(2 * GATES * LEVELS**K + -2 * GATES * LEVELS**K % (2 * _PART), np.int64)
+    for part, body in _summed_parts(text, _cells(both)).items():
+        cells[part * 2 * _PART : (part + 1) * 2 * _PART] = np.frombuffer(zlib.decompress(body), np.int64)
+    both.destroy()
+    return fit(cells[: 2 * GATES * LEVELS**K], [c.reshape(-1, 2) for c in counts.tables()], code, rounds)
 
 
 class _Block:
@@ -679,10 +783,10 @@ def _summed(train_tokens: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits (of the whole text) and bits_per_byte of each document."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_training().alias("train"), "text")
-    model = docs.sparkSession.sparkContext.broadcast(train(src.select("doc_id", "text"), sample))
+    model = docs.sparkSession.sparkContext.broadcast(train(src.select("doc_id", "text"), rounds))
     ranges = max(16, 2 * src.rdd.getNumPartitions())
     sent = cut(src.mapInArrow(_spelled(model, ranges), _SENT))
     back = cut(sent.where("dest is not null").groupBy("dest").applyInArrow(_looked_up, _COUNTED))

@@ -250,6 +250,38 @@ def test_windows_change_nothing():
             assert np.allclose(model.token_costs(low, off, window), whole, rtol=1e-4)
 
 
+def test_lm_is_fitted_on_every_training_text(docs_of):
+    """Cells hold all bits of all training texts, by the other texts' counts, and long texts choose the code too."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mats"], rng.integers(0, 12))) for _ in range(20)]
+    code = lm_score.Code([t.encode() for t in texts])
+    each = [[(places, gate, bit) for bits in _slots(code, t)[1] for places, gate, bit in bits] for t in texts]
+    every = [collections.Counter((k, places[k], bit) for places, _, bit in own for k in range(lm_score.K)) for own in each]
+    total = sum(every, collections.Counter())
+    counts = np.zeros((lm_score.K, 2 << lm_score.TABLE_BITS), np.float32)
+    for (k, p, bit), n in total.items():
+        counts[k, 2 * p + bit] = n
+    want = collections.Counter()
+    for own, mine in zip(each, every, strict=True):
+        for places, gate, bit in own:
+            at = gate
+            for k in reversed(range(lm_score.K)):
+                n0, n1 = (np.float32(total[k, places[k], b] - mine[k, places[k], b]) for b in (0, 1))
+                at = at * lm_score.LEVELS + int(np.rint(lm_score.log_odds(n0, n1) * lm_score.STEPS)) + lm_score.LEVELS // 2
+            want[2 * at + bit] += 1
+    tables = lm_score.Counts({})
+    tables.opened = counts
+    sent = type("Sent", (), {"value": (code, tables)})
+    batch = lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array(texts)], names=["text"])
+    (out,) = lm_score._cells(sent)(iter([batch]))
+    got = np.concatenate([np.frombuffer(lm_score.zlib.decompress(b), np.uint32) for b in out.column(1).to_pylist()])
+    at = np.concatenate([np.arange(2 * lm_score._PART) + p * 2 * lm_score._PART for p in out.column(0).to_pylist()])
+    assert {int(a): int(c) for a, c in zip(at, got, strict=True) if c} == dict(want)
+    one, two = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    model = lm_score.train(docs_of([(one, "abab the cat " * 50_000), (two, "abab the cat " * 90_000)]).select("doc_id", "text"))
+    assert model.code.size[ord("a")] < 4 and not np.allclose(model.weight, 0.4)
+
+
 def test_lm_text_above_a_window(docs_of):
     text = "some words of a long text " * 50_000
     one, two, three = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
