@@ -504,29 +504,32 @@ class Counts:
         return self.opened
 
 
-class _Own:
-    """Counts of one text's bits, beside those of all texts."""
+class _Others:
+    """Counts of all texts' bits, from which one text's own can be taken and put back."""
 
     def __init__(self, tables: np.ndarray):
-        self.every = [t.view(np.uint64) for t in tables]
-        self.counts = [np.zeros(2 << TABLE_BITS, np.float32) for _ in range(K)]
+        # Whole numbers, so that what is put back leaves no trace; above 32 bits one text's own matter no more.
+        self.counts = [np.minimum(t, 2.0**32 - 256).astype(U32) for t in tables]
 
-    def add(self, slots: list[np.ndarray], bit: np.ndarray) -> None:
-        for own, slot in zip(self.counts, slots, strict=True):
-            np.add.at(own, slot * 2 + bit, np.float32(1))
+    def less(self, slots: list[np.ndarray]) -> None:
+        for c, slot in zip(self.counts, slots, strict=True):
+            np.subtract.at(c, slot, U32(1))
 
-    def clear(self, slots: list[np.ndarray]) -> None:
-        for own, slot in zip(self.counts, slots, strict=True):
-            own.view(np.uint64)[slot] = 0
+    def more(self, slots: list[np.ndarray]) -> None:
+        for c, slot in zip(self.counts, slots, strict=True):
+            np.add.at(c, slot, U32(1))
 
     def levels(self, slots: list[np.ndarray]) -> np.ndarray:
-        """Log odds of bits by the other texts, as one number of their levels."""
-        out = np.zeros(len(slots[0]), np.int64)
+        """Log odds of bits by the counts as they are, as one number of their levels."""
+        out = np.zeros(len(slots[0]), np.int32)
         for k in range(K):
-            n = self.every[k].take(slots[k]).view(np.float32)
-            n -= self.counts[k].view(np.uint64).take(slots[k]).view(np.float32)
-            np.maximum(n, 0, out=n)
-            out += (np.rint(log_odds(n[::2], n[1::2]) * STEPS).astype(np.int64) + LEVELS // 2) * LEVELS**k
+            n = self.counts[k].view(np.uint64).take(slots[k] >> 1).view(U32).astype(np.float32)
+            x = log_odds(n[::2], n[1::2])
+            x *= STEPS
+            np.rint(x, out=x)
+            x += LEVELS // 2
+            x *= LEVELS**k
+            out += x.astype(np.int32)
         return out
 
 
@@ -535,12 +538,13 @@ def _cells(sent):
 
     def run(batches):
         code, counts = sent.value
-        own = _Own(counts.tables())
+        others = _Others(counts.tables())
         cells = np.zeros(2 * GATES * LEVELS**K, np.int64)
 
         def bits_of(s: Stream) -> tuple[Bits, list[np.ndarray]]:
             bits = Bits(s, np.flatnonzero(s.coded()))
-            return bits, [bits.slots(c[bits.pos]) for c in s.context]
+            # Of each bit the place of its own count; that of the other outcome lies beside it.
+            return bits, [bits.slots(c[bits.pos]) * 2 + bits.bit for c in s.context]
 
         def count(bits: Bits, levels: np.ndarray) -> None:
             cells[:] += np.bincount((bits.gates() * LEVELS**K + levels) * 2 + bits.bit, minlength=len(cells))
@@ -548,26 +552,21 @@ def _cells(sent):
         for _, data, off in B.rows_of(batches, SLICE):
             low = LOW[data]
             if len(off) == 2 and len(low) > WINDOW:
-                for turn in range(2):
+                for turn in (lambda _, x: others.less(x), lambda bits, x: count(bits, others.levels(x)), lambda _, x: others.more(x)):
                     for s in windows(low, code):
                         bits, slots = bits_of(s)
-                        if turn:
-                            count(bits, own.levels(slots))
-                        else:
-                            own.add(slots, bits.bit)
-                for c in own.counts:
-                    c[:] = 0
+                        turn(bits, slots)
                 continue
             s = Stream(low, off, np.ones(len(off) - 1, np.int64), code)
             bits, slots = bits_of(s)
             # Every text has its end symbol at least.
             edge = np.append(bits.first[np.searchsorted(bits.pos, s.begin)], len(bits.of)).tolist()
-            levels = np.empty(len(bits.of), np.int64)
+            levels = np.empty(len(bits.of), np.int32)
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 mine = [x[a:b] for x in slots]
-                own.add(mine, bits.bit[a:b])
-                levels[a:b] = own.levels(mine)
-                own.clear(mine)
+                others.less(mine)
+                levels[a:b] = others.levels(mine)
+                others.more(mine)
             count(bits, levels)
         yield _parts(cells.astype(np.uint32))
 
