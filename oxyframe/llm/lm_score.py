@@ -25,8 +25,8 @@ gate. Gated weights (by Newton's method) and the first map are fitted on those c
 A block of texts sends each range of word hashes its distinct words once, with counts;
 sums come back to the blocks. So a word that all texts hold is one entry a block.
 
-Edge cases: null counts as empty: one end token, no words. Texts over WINDOW bytes are
-scored window by window, and contexts, weights and map go on from one to the next:
+Edge cases: null counts as empty: one end token, no words. Texts over WINDOW bytes that are a
+slice of their own are scored window by window, and contexts, weights and map go on from one to the next:
 the window's size bounds memory and changes nothing. With no training text every count is 0
 and base_score is 0. Null and repeated ids give a row each; other columns are ignored;
 an empty table gives no rows.
@@ -56,7 +56,10 @@ WINDOW = 1 << 20
 RATE, MAP_RATE = 0.05, 0.02
 MOST_OWN = 0.5  # how far a text's own weights may go
 RECENT, TRUST = 16, 0.25  # words that the gate looks back on, and how much it makes of a nat
-SLICE = 1 << 19
+SLICE = 1 << 18  # bytes of texts whose stream is made, and whose bits are counted, at once: they stay in the cache
+SCORED = 1 << 21  # bytes of texts that are scored at once: the more go side by side, the fewer steps
+SIDE = 1024  # texts side by side at most, as each has its map
+NEAR = 256  # texts whose blocks are scored at once: they stay in the cache
 TOKENS_A_BLOCK = 1 << 21
 END = 0xFF  # no byte of UTF-8
 END_TOKEN = B.U(0x5851F42D4C957F2D)
@@ -247,6 +250,19 @@ class Stream:
         return out
 
 
+class Joined(Stream):
+    """Streams of whole texts, one behind the other."""
+
+    def __init__(self, parts: list[Stream]):
+        self.code = parts[0].code
+        for name in ("bytes", "token", "way", "gate"):
+            setattr(self, name, np.concatenate([getattr(s, name) for s in parts]))
+        self.context = [np.concatenate([s.context[k] for s in parts]) for k in range(K)]
+        size = np.array([len(s.bytes) for s in parts])
+        shift = np.repeat(np.cumsum(size) - size, [len(s.begin) for s in parts])
+        self.begin, self.end = (np.concatenate([getattr(s, name) for s in parts]) + shift for name in ("begin", "end"))
+
+
 def place(context: np.ndarray) -> np.ndarray:
     x = context * U32(0x9E3779B1)
     x >>= U32(32 - TABLE_BITS)
@@ -305,23 +321,38 @@ class Model:
         """Own weights and maps of n texts at their beginning."""
         return np.zeros((K, n), np.float32), np.tile(self.refined, (n, 1))
 
-    def costs(self, s: Stream, state: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Nats of each coded byte of the stream; the texts' own weights and maps in ``state`` move on."""
+    def costs(self, s: Stream, state: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Nats of each coded byte of the stream.
+
+        Own weights and map of a window's text are in ``state`` and move on. Without it texts are at their
+        beginning, and SIDE of them, alike in size, go side by side.
+        """
+        nats = np.zeros(len(s.bytes), np.float32)
+        order = np.argsort(s.end - s.begin, kind="stable")
+        for a in range(0, len(order), SIDE):
+            group = order[a : a + SIDE]
+            self._costs(s, group, self.fresh(len(group)) if state is None else state, nats)
+        return nats
+
+    def _costs(self, s: Stream, group: np.ndarray, state: tuple[np.ndarray, np.ndarray], nats: np.ndarray) -> None:
+        """Fills in the nats of the texts of ``group``, which is in order of size."""
         own, maps = state
         flat = maps.reshape(-1)
-        nats = np.zeros(len(s.bytes), np.float32)
-        size = s.end - s.begin
-        n = len(size)
-        for r in range(int(-(-size.max() // BLOCK)) if n else 0):
-            live = np.flatnonzero(size > r * BLOCK)
-            first = s.begin[live] + r * BLOCK
-            count = np.minimum(s.end[live] - first, BLOCK)
+        begin, end = s.begin[group], s.end[group]
+        size = end - begin
+        rounds = range(int(-(-size[-1] // BLOCK)))
+        ended = np.searchsorted(size, np.array(rounds) * BLOCK, "right").tolist()
+        for r, at in ((r, at) for r in rounds for at in range(ended[r], len(size), NEAR)):
+            live = slice(at, at + NEAR)
+            first = begin[live] + r * BLOCK
+            count = np.minimum(end[live] - first, BLOCK)
             shift = np.cumsum(count) - count
             pos = np.arange(int(count.sum())) + np.repeat(first - shift, count)
             bits = Bits(s, pos)
             cut = bits.first[shift]
             n_bits = np.diff(np.append(cut, len(bits.node)))
-            pick = bits.gates(np.repeat(np.arange(len(live)) * GATES, count))
+            came = bits.bit.astype(np.float32)
+            pick = bits.gates(np.repeat(np.arange(len(count)) * GATES, count))
             odds = []
             for k in range(K):
                 st = self.tables[k].take(bits.slots(s.context[k][pos])).astype(np.float32)
@@ -340,36 +371,38 @@ class Model:
             x += 32
             cell = np.clip(x, 0, BUCKETS - 1, out=x).astype(np.intp)
             # A text's map lies in its row; ``pick`` is (text among the live, gate).
-            pick += np.repeat((live - np.arange(len(live))) * GATES, n_bits)
+            pick += at * GATES
             pick *= BUCKETS
             cell += pick
             q = flat.take(cell)
             # Of bits that meet in a cell the last one counts.
-            step = bits.bit - q
+            step = came - q
             step *= np.float32(MAP_RATE)
             step += q
             flat[cell] = step
             q += p
             q *= np.float32(0.5)
             # The probability of the bit that came: 1 - |bit - q|.
-            got = bits.bit - q
+            got = came - q
             np.abs(got, out=got)
             np.subtract(np.float32(1), got, out=got)
             np.log(np.maximum(got, np.float32(1e-9), out=got), out=got)
             nats[pos] = -np.add.reduceat(got, bits.first)
-            wrong = bits.bit - p
+            wrong = np.subtract(came, p, out=p)
             rate = np.float32(RATE / 16) / np.sqrt(n_bits, dtype=np.float32)
             for k in range(K):
                 odds[k] *= wrong
                 own[k, live] = np.clip(own[k, live] + rate * np.add.reduceat(odds[k], cut), -MOST_OWN, MOST_OWN)
-        return nats
 
     def token_costs(self, low: np.ndarray, off: np.ndarray, window: int = WINDOW) -> np.ndarray:
         """Nats of each token, word by word and then the end, of the texts of a slice."""
         if len(off) != 2 or len(low) <= window:
-            s = Stream(low, off, np.ones(len(off) - 1, np.int64), self.code)
+            parts = [Stream(low[off[i] : off[j]], off[i : j + 1] - off[i], np.ones(j - i, np.int64), self.code) for i, j in B.slices(off, SLICE)]
+            if not parts:
+                return np.zeros(0)
+            s = Joined(parts)
             coded = s.coded()
-            return np.add.reduceat(self.costs(s, self.fresh(len(off) - 1))[coded], np.flatnonzero(s.token[coded]), dtype=np.float64) if len(off) > 1 else np.zeros(0)
+            return np.add.reduceat(self.costs(s)[coded], np.flatnonzero(s.token[coded]), dtype=np.float64)
         out, state = [], self.fresh(1)
         for s in windows(low, self.code, window):
             nats = self.costs(s, state)[_PAD:].astype(np.float64)
@@ -510,6 +543,7 @@ class _Others:
     def __init__(self, tables: np.ndarray):
         # Whole numbers, so that what is put back leaves no trace; above 32 bits one text's own matter no more.
         self.counts = [np.minimum(t, 2.0**32 - 256).astype(U32) for t in tables]
+        self.pairs = [c.view(np.uint64) for c in self.counts]
 
     def less(self, slots: list[np.ndarray]) -> None:
         for c, slot in zip(self.counts, slots, strict=True):
@@ -519,18 +553,34 @@ class _Others:
         for c, slot in zip(self.counts, slots, strict=True):
             np.add.at(c, slot, U32(1))
 
-    def levels(self, slots: list[np.ndarray]) -> np.ndarray:
-        """Log odds of bits by the counts as they are, as one number of their levels."""
-        out = np.zeros(len(slots[0]), np.int32)
+    def seen(self, places: list[np.ndarray]) -> list[np.ndarray]:
+        """Counts of both outcomes at places, as they are, each two as one number."""
+        return [c.take(x) for c, x in zip(self.pairs, places, strict=True)]
+
+    def without(self, places: list[np.ndarray], slots: list[np.ndarray], out: list[np.ndarray]) -> None:
+        """Fills in what is seen at a text's places without the text's own, which is put back."""
+        for c, pairs, place, slot, x in zip(self.counts, self.pairs, places, slots, out, strict=True):
+            all_texts = pairs.take(place)
+            np.subtract.at(c, slot, U32(1))
+            x[:] = pairs.take(place)
+            pairs[place] = all_texts
+
+
+def _levels(seen: list[np.ndarray]) -> np.ndarray:
+    """Log odds of bits by counts of both outcomes, as one number of their levels."""
+    out = np.empty(len(seen[0]), np.int32)
+    for a in range(0, len(out), _PART):
+        # The numbers are below 2**24, whole in 32 bits.
+        total = np.float32(LEVELS**K // 2)
         for k in range(K):
-            n = self.counts[k].view(np.uint64).take(slots[k] >> 1).view(U32).astype(np.float32)
+            n = seen[k][a : a + _PART].view(U32).astype(np.float32)
             x = log_odds(n[::2], n[1::2])
             x *= STEPS
             np.rint(x, out=x)
-            x += LEVELS // 2
             x *= LEVELS**k
-            out += x.astype(np.int32)
-        return out
+            total = np.add(total, x, out=x)
+        out[a : a + _PART] = total
+    return out
 
 
 def _cells(sent):
@@ -541,33 +591,38 @@ def _cells(sent):
         others = _Others(counts.tables())
         cells = np.zeros(2 * GATES * LEVELS**K, np.int64)
 
-        def bits_of(s: Stream) -> tuple[Bits, list[np.ndarray]]:
+        def bits_of(s: Stream) -> tuple[Bits, list[np.ndarray], list[np.ndarray]]:
             bits = Bits(s, np.flatnonzero(s.coded()))
+            places = [bits.slots(c[bits.pos]) for c in s.context]
             # Of each bit the place of its own count; that of the other outcome lies beside it.
-            return bits, [bits.slots(c[bits.pos]) * 2 + bits.bit for c in s.context]
+            slots = [x * 2 for x in places]
+            for x in slots:
+                x += bits.bit
+            return bits, places, slots
 
         def count(bits: Bits, levels: np.ndarray) -> None:
-            cells[:] += np.bincount((bits.gates() * LEVELS**K + levels) * 2 + bits.bit, minlength=len(cells))
+            at = bits.gates()
+            at *= LEVELS**K
+            at += levels
+            at *= 2
+            at += bits.bit
+            np.add.at(cells, at, 1)
 
         for _, data, off in B.rows_of(batches, SLICE):
             low = LOW[data]
             if len(off) == 2 and len(low) > WINDOW:
-                for turn in (lambda _, x: others.less(x), lambda bits, x: count(bits, others.levels(x)), lambda _, x: others.more(x)):
+                for turn in (lambda _, __, x: others.less(x), lambda bits, x, _: count(bits, _levels(others.seen(x))), lambda _, __, x: others.more(x)):
                     for s in windows(low, code):
-                        bits, slots = bits_of(s)
-                        turn(bits, slots)
+                        turn(*bits_of(s))
                 continue
             s = Stream(low, off, np.ones(len(off) - 1, np.int64), code)
-            bits, slots = bits_of(s)
+            bits, places, slots = bits_of(s)
             # Every text has its end symbol at least.
             edge = np.append(bits.first[np.searchsorted(bits.pos, s.begin)], len(bits.of)).tolist()
-            levels = np.empty(len(bits.of), np.int32)
+            seen = [np.empty(len(bits.of), np.uint64) for _ in range(K)]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                mine = [x[a:b] for x in slots]
-                others.less(mine)
-                levels[a:b] = others.levels(mine)
-                others.more(mine)
-            count(bits, levels)
+                others.without(*([x[a:b] for x in of] for of in (places, slots, seen)))
+            count(bits, _levels(seen))
         yield _parts(cells.astype(np.uint32))
 
     return run
@@ -695,7 +750,7 @@ def _spelled(sent, ranges: int):
         model = sent.value
         number, block = 0, _Block()
         part = TaskContext.get().partitionId()
-        for batch, data, off in B.rows_of(batches, SLICE, "text"):
+        for batch, data, off in B.rows_of(batches, SCORED, "text"):
             low = LOW[data]
             nats = model.token_costs(low, off)
             s, e = B.spans(low, off)

@@ -250,6 +250,26 @@ def test_windows_change_nothing():
             assert np.allclose(model.token_costs(low, off, window), whole, rtol=1e-4)
 
 
+def test_lm_long_texts_go_side_by_side(monkeypatch):
+    """Scoring takes the steps of the longest text, not those of each slice of it and its neighbours; costs are those of each text alone."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mats"], n)) for n in rng.integers(18_000, 20_000, 14)] + ["", "a cat"]
+    code = lm_score.Code([t.encode() for t in texts])
+    tables = [rng.integers(-60, 60, 1 << lm_score.TABLE_BITS).astype(np.int8) for _ in range(lm_score.K)]
+    model = lm_score.Model(code, tables, np.full((lm_score.K, lm_score.GATES), 0.4, np.float32), np.full(lm_score.GATES * lm_score.BUCKETS, 0.5, np.float32))
+    alone = [model.token_costs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts]
+    steps = []
+    monkeypatch.setattr(lm_score, "Bits", lambda *of, make=lm_score.Bits: steps.append(of) or make(*of))
+    monkeypatch.setattr(lm_score.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array(range(len(texts))), lm_score.pa.array([True] * len(texts)), lm_score.pa.array(texts)], names=["doc_id", "train", "text"])
+    got = []
+    add = lm_score._Block.add
+    monkeypatch.setattr(lm_score._Block, "add", lambda self, *of: got.append(of[3]) or add(self, *of))
+    list(lm_score._spelled(type("Sent", (), {"value": model}), 2)(iter([batch])))
+    assert len(steps) <= max(len(t) for t in texts) // lm_score.BLOCK + 2
+    assert np.array_equal(np.concatenate(got), np.concatenate(alone))
+
+
 def test_lm_is_fitted_on_every_training_text(docs_of):
     """Cells hold all bits of all training texts, by the other texts' counts, and long texts choose the code too."""
     rng = np.random.default_rng(7)
