@@ -18,7 +18,7 @@ from ..operators import replace as rep
 from ..sources import recording, tables
 from ..session import folder
 from ..streaming import trailing
-from .signals import micros, out, table, users, vectors
+from .signals import micros, out, sample, table, users, vectors
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -408,9 +408,15 @@ def read_example(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, d: str, head: str, row: str) -> DataFrame:
-    """Each embedding as a device's export: lines of text before the header, then a line a sample."""
-    lines = vectors(spark, d).df.selectExpr("vec_id", ROW, f"{row} as line").groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct(ROW, "line"))).alias("lines"))
-    return lines.selectExpr("concat('/export/', vec_id, '.csv') as path", f"cast(concat('{head}', array_join(transform(lines, x -> x.line), '\\n')) as binary) as content")
+    """Each embedding as a device's export: lines of text before the header, then a line a sample.
+
+    ``row`` is SQL of ``vec_id`` and a sample ``s`` (of ``sample``). What is dealt out is an embedding, not its lines.
+    """
+    # By number, as parsing takes long for few bytes: partitions would be put together by their bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    e = table(spark, d, "embeddings").select("vec_id", "embedding").where("size(embedding) > 0").repartition(tasks, "vec_id")
+    lines = f"transform(transform(embedding, (f, i) -> {sample('embedding', 'f', 'i')}), s -> {row})"
+    return e.selectExpr("concat('/export/', vec_id, '.csv') as path", f"cast(concat('{head}', array_join({lines}, '\\n')) as binary) as content")
 
 
 def _parsed(files: DataFrame, *args: Any, **kw: Any) -> DataFrame:
@@ -432,8 +438,8 @@ def local_functions(spark: SparkSession, d: str) -> DataFrame:
 def read_times_of_day(spark: SparkSession, d: str) -> DataFrame:
     """Times of day, which count from the first one; text before the header; a rate below one."""
     head = "\\n FW 12\\n \\nmm-dd,hh:mm:ss,SmO2 Live,SmO2 Averaged,THb,Lap,Session Ct\\n"
-    at = "47833 + 2 * i"
-    row = f"concat('06-Feb,', format_string('%02d:%02d:%02d', ({at}) div 3600, ({at}) % 3600 div 60, ({at}) % 60), ',', cast(round(x * 100) as bigint) / 100, ',1,12.1,', lap, ',1')"
+    at = "47833 + 2 * s.i"
+    row = f"concat('06-Feb,', format_string('%02d:%02d:%02d', ({at}) div 3600, ({at}) % 3600 div 60, ({at}) % 60), ',', cast(round(s.x * 100) as bigint) / 100, ',1,12.1,', s.lap, ',1')"
     return _parsed(_files(spark, d, head, row), {"smo2": "SmO2 Live"}, event_channel={"lap": "Lap"})
 
 
@@ -441,14 +447,14 @@ def read_times_of_day(spark: SparkSession, d: str) -> DataFrame:
 def read_repeated_headings(spark: SparkSession, d: str) -> DataFrame:
     """Two columns of one heading, empty events, times from zero."""
     head = "Device,Train\\nTimestamp (seconds passed),Lap/Event,SmO2,SmO2\\n"
-    row = "concat(cast(100.1BD + i * 0.1BD as decimal(9, 1)), ',', if(i % 8 = 0, cast(lap as string), ''), ',', cast(round(x * 100) as bigint) / 100, ',', cast(round(y * 100) as bigint) / 100)"
+    row = "concat(cast(100.1BD + s.i * 0.1BD as decimal(9, 1)), ',', if(s.i % 8 = 0, cast(s.lap as string), ''), ',', cast(round(s.x * 100) as bigint) / 100, ',', cast(round(s.y * 100) as bigint) / 100)"
     return _parsed(_files(spark, d, head, row), {"l": "SmO2", "r": "SmO2"}, event_channel={"lap": "Lap/Event"}, zero_time=True)
 
 
 @_add(f"""WITH {E} SELECT {_FILE}, CAST(i + 1 AS DOUBLE) AS "time", CASE WHEN z IS NULL THEN NULL ELSE CAST(round(z * 100) AS DOUBLE) / 100 + CAST(0 AS DOUBLE) END AS smo2, '70' AS lap, 'VO2master' AS device, CAST(1 AS DOUBLE) AS rate FROM e""")
 def read_decimal_commas(spark: SparkSession, d: str) -> DataFrame:
     """Quoted decimal commas and empty cells."""
-    row = "concat(i + 1, ',00:00:01,70,\"', coalesce(replace(cast(cast(round(z * 100) as bigint) / 100 as string), '.', ','), ''), '\"')"
+    row = "concat(s.i + 1, ',00:00:01,70,\"', coalesce(replace(cast(cast(round(s.z * 100) as bigint) / 100 as string), '.', ','), ''), '\"')"
     return _parsed(_files(spark, d, "Time[s],Time[hh:mm:ss],HR[bpm],SmO2[%]\\n", row), {"smo2": "SmO2[%]"}, event_channel={"lap": "HR[bpm]"})
 
 

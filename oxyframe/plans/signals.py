@@ -14,6 +14,11 @@ DIRTY = "case when (i + vec_id) % 13 = 5 then 9.5D when (i + vec_id) % 11 = 3 th
 EVENT = "case when i = 10 + vec_id % 5 then 'start' when i = 40 + vec_id % 7 then 'end' else '' end"
 
 
+def sample(embedding: str, f: str, i: str) -> str:
+    """A sample of ``vectors`` as a struct, from its place ``i`` (from 0) and value ``f`` in the array."""
+    x, y = f"cast({f} as double)", f"cast({embedding}[size({embedding}) - 1 - {i}] as double)"
+    z = DIRTY.replace("(i + vec_id)", f"({i} + vec_id)").replace("else x end", f"else {x} end")
+    return f"named_struct('i', {i}, 'x', {x}, 'y', {y}, 'z', {z}, 'lap', cast({i} div 8 + 1 as int))"
 
 
 def micros(stamp: str) -> str:

@@ -7,6 +7,7 @@ import pytest
 from oxyframe.errors import SignalError, SignalWarning
 from oxyframe.functions import palette, timefmt
 from oxyframe.functions.windows import snapped
+from oxyframe.plans import catalog
 from oxyframe.sources import devices, recording, tables, timeparse
 
 
@@ -79,6 +80,43 @@ def test_times():
     assert timeparse.seconds(["5", "7"], dt.datetime(2024, 1, 1), False, day)[1][0] == dt.datetime(2024, 1, 1, 0, 0, 5)
 
 
+def test_moments_as_strptime_takes_them():
+    day = dt.date(2024, 1, 2)
+    texts = ["1:2:3.5", "01:02:03", "23:59:59.1234567", "24:00:00", "12:60:00", "12:00:60", "12:00", "", "x", " 7:08:09 ", "2024-01-02T03:04:05", "2024-01-02t03:04:05.25", "2024-1-2  3:4:5.5", "2024-02-30 01:02:03", "0000-01-01 01:02:03",
+             "2024/01/02 03:04:05", "2-1-2024 03:04:05", " 2/1/2024 03:04:05", "31/12/2024 23:59:59", "2024-01-02T03:04:05+02:00", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.5-0130", "2024-01-02T03:04:05.5+25:00", "2024-01-02 03:04:05 x", "\u0661:02:03.5"]
+
+    def plain(text, formats):
+        for f in formats:
+            for fraction in ("", ".0"):
+                cut = text[: text.rindex(".") + 7] if text == "23:59:59.1234567" else text
+                zone = next((z for z in ("+02:00", "Z") if fraction and cut.endswith(z)), "")
+                try:
+                    v = dt.datetime.strptime(cut.strip().removesuffix(zone) + fraction + zone, f)
+                except ValueError:
+                    continue
+                v = dt.datetime.combine(day, v.time()) if f == timeparse.FORMATS[0] else v
+                return v.astimezone(dt.timezone.utc).replace(tzinfo=None) if v.tzinfo else v
+        return None
+
+    for formats in (timeparse.FORMATS, timeparse.FORMATS[1:], timeparse.FORMATS[:1]):
+        assert [timeparse.moment(t, formats, day) for t in texts] == [plain(t, formats) for t in texts]
+
+
+def test_files_are_not_dealt_out_line_by_line(spark):
+    for query in (catalog.read_times_of_day, catalog.read_repeated_headings, catalog.read_decimal_commas):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_short_files_go_on_together(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.csv").write_bytes(recording.example("ramp"))
+    files = recording._load(spark, str(tmp_path)).coalesce(1)
+    df = recording.parse_recordings(files, {"smo2": "SmO2 Live"}, {"time": "hh:mm:ss"}).df
+    sizes = df.mapInArrow(lambda batches: (b.slice(0, 0) if not b.num_rows else b.slice(0, 1) for b in batches), df.schema)
+    assert sizes.count() == 1 and df.count() == 360
+
+
 def test_errors(spark):
     with pytest.raises(SignalError, match="unsupported file type"):
         recording.read_recording(spark, "a.doc")
