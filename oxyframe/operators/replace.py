@@ -120,18 +120,27 @@ def interpolate(x0: str, x1: str, time: str, method: str) -> str:
     )
 
 
-def _fill(df: DataFrame, names: Sequence[str], time: str, method: str) -> DataFrame:
+def _fill(df: DataFrame, names: Sequence[str], time: str, method: str, by_time: bool = False) -> DataFrame:
     columns = df.columns
     t = W.q(time)
-    df = _with(df, _tie_means(names, time))
-    known = {k: f"case when _v{k} is not null then named_struct('t', {t}, 'x', _v{k}) end" for k in range(len(names))}
-    ahead, behind = W.past(t, ROW), W.past(f"{t} DESC", f"{ROW} DESC")
-    df = _with(df, {f"_a{k}": f"last({known[k]}, true) OVER {ahead}" for k in known})
-    df = _with(df, {f"_b{k}": f"last({known[k]}, true) OVER {behind}" for k in known})
+    if by_time:
+        known = df.groupBy(F.col(SERIES).alias("_series"), F.col(t).alias("_time")).agg(*[F.expr(f"avg({W.clean(c)})").alias(f"_v{k}") for k, c in enumerate(names)])
+        known = _known(known, range(len(names)), "_time", ["_time"], ("_series",)).drop(*[f"_v{k}" for k in range(len(names))])
+        df = df.join(known, F.col(SERIES).eqNullSafe(F.col("_series")) & F.col(t).eqNullSafe(F.col("_time")))
+    else:
+        df = _known(_with(df, _tie_means(names, time)), range(len(names)), t, [t, ROW])
     df = _with(df, {c: interpolate(f"_a{k}", f"_b{k}", time, method) for k, c in enumerate(names)})
     return df.select(*map(W.q, columns))
 
 
+def _known(df: DataFrame, channels: Sequence[int], t: str, order: Sequence[str], by: Sequence[str] = (SERIES,)) -> DataFrame:
+    """The known (t, x) structs before (``_a``) and after (``_b``) each row, from ``_v``, where known its own in both."""
+    known = {k: f"case when _v{k} is not null then named_struct('t', {t}, 'x', _v{k}) end" for k in channels}
+    ahead, behind = W.past(*order, by=by), W.past(*[f"{x} DESC" for x in order], by=by)
+    df = _with(df, {f"_a{k}": f"last({known[k]}, true) OVER {ahead}" for k in known})
+    return _with(df, {f"_b{k}": f"last({known[k]}, true) OVER {behind}" for k in known})
+
+
 def _neighbour_median(df: DataFrame, c: str, time: str, width: int | None, span: float | None) -> DataFrame:
     """Null values of one channel become the median of their valid neighbours."""
     x = W.q(c)
@@ -154,18 +163,20 @@ def _neighbour_median(df: DataFrame, c: str, time: str, width: int | None, span:
     return joined.select(*[F.expr(f"coalesce({x}, _m)").alias(c) if n == c else F.col(W.q(n)) for n in df.columns])
 
 
-def replace_missing(sf: SignalFrame, channels: Any = None, time_channel: Any = None, width=None, span=None, method: str = "linear", verbose: bool = True) -> SignalFrame:
+def replace_missing(sf: SignalFrame, channels: Any = None, time_channel: Any = None, width=None, span=None, method: str = "linear", verbose: bool = True, by_time: bool = False) -> SignalFrame:
     """Nulls are interpolated, carried forward, or become the median of valid neighbours.
 
     ``linear`` and ``locf`` give rows of equal time their mean, and the ends the
-    nearest value. A channel without values stays null.
+    nearest value. A channel without values stays null. ``by_time`` is for few long
+    series of many rows a time: a task then holds the distinct times of a series, not
+    its rows, which are dealt out by time and joined to what is known of it (not ``median``).
     """
     func = "replace_missing"
     names = sf.channel_names(channels, func)
     time = sf.time_name(time_channel, func) if time_channel or sf.meta.time_channel else ROW
     A.choice("method", method, ("linear", "median", "locf"), func)
     if method != "median":
-        return sf._new(_fill(sf.df, names, time, method), channels=names)
+        return sf._new(_fill(sf.df, names, time, method, by_time), channels=names)
     width, span = A.width_span(width, span, func, verbose)
     if span is not None:
         sf.check_sorted(time, func)

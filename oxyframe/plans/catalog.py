@@ -164,10 +164,10 @@ _ORDERS = """o AS (SELECT o_orderkey, o_orderpriority, o_orderkey AS i, CAST(epo
 
 @_add(f"WITH {_ORDERS}, v AS (SELECT *, avg(p) OVER (PARTITION BY o_orderpriority, t) AS w FROM o), k AS ({_ends('w', 'v', 'o_orderpriority')}) SELECT o_orderkey, round({_LINE}, 8) + CAST(0 AS DOUBLE) AS p FROM k")
 def replace_missing_tied_times(spark: SparkSession, d: str) -> DataFrame:
-    """Many orders a day: rows of equal time get their mean."""
+    """Many orders a day, in five series: rows of equal time get their mean."""
     o = table(spark, d, "orders").selectExpr("o_orderkey", "o_orderpriority", "cast(unix_date(cast(o_orderdate as date)) as double) as t", "case when o_orderkey % 3 = 0 then null else o_totalprice end as p")
     sf = SignalFrame.from_df(o, "t", "p", series="o_orderpriority", order=["t", "o_orderkey"], checks=False)
-    return out(rep.replace_missing(sf).df, "o_orderkey", "p", digits=8)
+    return out(rep.replace_missing(sf, by_time=True).df, "o_orderkey", "p", digits=8)
 
 
 @_add(f"""WITH {E}, q AS (SELECT vec_id, i, t, CASE WHEN z <= -0.3 THEN NULL ELSE z END AS z FROM e), {_HAMPEL.format(x='z', w=_rows(3, 3), src='q')},

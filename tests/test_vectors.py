@@ -8,6 +8,7 @@ import pytest
 
 from oxyframe.errors import SignalError, SignalWarning
 from oxyframe.frame import SignalFrame
+from oxyframe.meta import SignalMeta
 from oxyframe.operators import filters, kernels
 from oxyframe.operators import replace as rep
 
@@ -203,6 +204,25 @@ def test_many_series_equal_each_alone(spark):
             near(out.collect(name)["x"], verb(alone).collect()["x"])
 
 
+def test_ties_are_filled_by_time(spark):
+    rng = random.Random(7)
+    t = [rng.choice([0.0, -0.0, 1.0, 2.0, 4.0, 8.0, N, float("nan")]) for _ in range(60)]
+    rows = [(f"s{k % 3}", k, t[k], rng.random() if rng.random() > 0.6 else N, N if k % 3 else 1.5) for k in range(60)]
+    df = spark.createDataFrame(rows, "series string, _i long, t double, x double, y double")
+    sf = SignalFrame(df, SignalMeta().with_(channels=("x", "y"), time_channel="t"), False)
+    for method in ("linear", "locf"):
+        one, other = (sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in rep.replace_missing(sf, method=method, by_time=b).df.collect()) for b in (False, True))
+        assert one == other and len(one) == 60
+
+
+def test_no_task_holds_a_series_of_tied_rows(spark):
+    from oxyframe.plans import catalog
+
+    plan = catalog.replace_missing_tied_times(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Orders themselves go through no window: only what is aggregated by series and time does.
+    assert "row_number" not in plan and plan.count("Window [") == 2 and "Aggregate [" in plan
+
+
 def test_conditions(spark):
     with pytest.raises(SignalError, match="window size undefined"):
         filters.moving_average(vector(spark, [1.0, 2.0]))
