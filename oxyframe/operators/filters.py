@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,10 +104,48 @@ def local_fun(sf: SignalFrame, channels: Any = None, fun: Any = "avg", time_chan
     return sf._new(df.select(*map(W.q, sf.df.columns)), channels=names)
 
 
+TOGETHER = 1 << 17  # rows of whole series that a task takes at once; a longer series is taken by itself
+
+
+def _whole_series(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that lie together by series, as tables of whole series and where each begins and ends."""
+    held: list[pa.RecordBatch] = []
+    n, tail = 0, None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is not None:
+            first, last = batch.column(SERIES)[0].as_py(), batch.column(SERIES)[-1].as_py()
+            # A series that goes on needs no search for its end.
+            if not held or n < rows or first == last == tail:
+                held.append(batch)
+                n, tail = n + batch.num_rows, last
+                continue
+        if held:
+            table = pa.Table.from_batches(held)
+            key = table.column(SERIES).combine_chunks()
+            new = pc.not_equal(key[1:], key[:-1])
+            # A missing name is a series of its own.
+            odd = pc.not_equal(pc.is_null(key[1:]), pc.is_null(key[:-1]))
+            edge = np.flatnonzero(pc.or_(pc.fill_null(new, False), odd).to_numpy(zero_copy_only=False)) + 1
+            edge = np.concatenate(([0], edge, [len(key)]))
+            held, n = [], 0
+            if batch is not None and tail == first:
+                # The last series goes on in this batch.
+                held, n = table.slice(int(edge[-2])).to_batches(), len(key) - int(edge[-2])
+                table, edge = table.slice(0, int(edge[-2])), edge[:-1]
+            if len(edge) > 1:
+                yield table, edge
+        if batch is not None:
+            held.append(batch)
+            n, tail = n + batch.num_rows, last
+
+
 def _kernel(sf: SignalFrame, time: str, plans: dict[str, tuple]) -> SignalFrame:
-    """One pass over each series for all channels that need a kernel.
+    """One pass over the series for all channels that need a kernel.
 
-    A series goes to one task whole, as recursion and global fits need it.
+    A series goes to one task whole, as recursion and global fits need it. Short ones are
+    taken together: by themselves each costs more than its fit.
     """
     ship(sf.df.sparkSession)
     names = list(plans)
@@ -111,23 +153,29 @@ def _kernel(sf: SignalFrame, time: str, plans: dict[str, tuple]) -> SignalFrame:
     schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in names else f for f in sf.df.schema.fields])
     df = _with(sf.df, {c: W.clean(c) for c in names})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ROW, kind="stable")
-        t = pdf[time].to_numpy(float)
-        for c, (kind, *a) in plans.items():
-            x = pdf[c].to_numpy(float)
-            ok = np.isfinite(x)
-            y = np.full(len(x), np.nan)
-            if ok.any():
+    def numbers(table: pa.Table, c: str) -> np.ndarray:
+        return table.column(c).cast(pa.float64(), safe=False).to_numpy().astype(float)
+
+    def run(batches):
+        for table, edge in _whole_series(batches, TOGETHER):
+            t = numbers(table, time)
+            for c, (kind, *a) in plans.items():
+                x = numbers(table, c)
+                ok = np.isfinite(x)
+                places = [i + np.flatnonzero(ok[i:j]) for i, j in itertools.pairwise(edge.tolist())]
+                places = [p for p in places if len(p)]
                 if kind == "butterworth":
-                    b, den, edges, steady = a
-                    y[ok] = kernels.both_ways(b, den, x[ok], edges, steady)
+                    fits = kernels.filtered([x[p] for p in places], *a)
                 else:
-                    y[ok] = kernels.Spline(t[ok], x[ok]).fit(a[0])[0]
-            pdf[c] = pd.Series(y, index=pdf.index).astype(object).where(np.isfinite(y), None)
-        return pdf
-
-    out = df.groupBy(SERIES).applyInPandas(run, schema)
+                    fits = kernels.smoothed([(t[p], x[p]) for p in places], a[0])
+                y = np.full(len(x), np.nan)
+                for p, fit in zip(places, fits, strict=True):
+                    y[p] = fit
+                k = table.schema.get_field_index(c)
+                table = table.set_column(k, table.schema.field(k), pa.array(y, mask=~np.isfinite(y)))
+            yield from table.to_batches(max_chunksize=1 << 14)
+
+    out = df.repartition(SERIES).sortWithinPartitions(SERIES, ROW).mapInArrow(run, schema)
     return sf._new(out.select(*map(W.q, columns)), channels=names)
 
 

@@ -189,3 +189,74 @@ class Spline:
             if hi - lo <= 24e-4:
                 return fit[:, best], float(tried[best])
             lo, hi = float(tried[max(0, best - 1)]), float(tried[min(24, best + 1)])
+
+
+def _banded(series: list[Spline], lam: np.ndarray) -> list[np.ndarray]:
+    """The fitted values of many series of three samples or more, of one length, side by side: ``Spline._solve`` without the trace."""
+    q0, q1, q2 = (np.stack([s.q[j] for s in series], axis=1) for j in range(3))
+    y = np.stack([s.y for s in series], axis=1)
+    d0 = np.stack([s.r[0] for s in series], axis=1) + lam * np.stack([s.qq[0] for s in series], axis=1)
+    d1 = np.stack([s.r[1] for s in series], axis=1) + lam * np.stack([s.qq[1] for s in series], axis=1)
+    d2 = lam * np.stack([s.qq[2] for s in series], axis=1)
+    m = len(d0)
+    d, u, v = np.empty_like(d0), np.zeros_like(d0), np.zeros_like(d0)
+    z = np.zeros((m + 2, len(series)))
+    z[:m] = q0 * y[:-2] + q1 * y[1:-1] + q2 * y[2:]
+    for i in range(m):
+        du = d[i - 1] * u[i - 1] if i else 0
+        d[i] = d0[i] - (du * u[i - 1] if i else 0) - (d[i - 2] * v[i - 2] ** 2 if i > 1 else 0)
+        if i:
+            z[i] -= u[i - 1] * z[i - 1]
+        if i > 1:
+            z[i] -= v[i - 2] * z[i - 2]
+        if i < m - 1:
+            u[i] = (d1[i] - (du * v[i - 1] if i else 0)) / d[i]
+        if i < m - 2:
+            v[i] = d2[i] / d[i]
+    z[:m] /= d
+    for i in range(m - 1, -1, -1):
+        z[i] -= u[i] * z[i + 1] + v[i] * z[i + 2]
+    y[:-2] -= lam * q0 * z[:m]
+    y[1:-1] -= lam * q1 * z[:m]
+    y[2:] -= lam * q2 * z[:m]
+    return list(y.T)
+
+
+SIDE = 1 << 20  # samples of series that are fitted side by side
+
+
+def smoothed(series: list[tuple[np.ndarray, np.ndarray]], spar: float | None = None) -> list[np.ndarray]:
+    """Fitted values of each (times, values) as ``Spline.fit`` gives them; with ``spar`` those of one length go side by side."""
+    if spar is None:
+        return [Spline(t, y).fit()[0] for t, y in series]
+    out: list[np.ndarray] = [None] * len(series)
+    alike: dict[int, list[int]] = {}
+    for k, (t, _) in enumerate(series):
+        alike.setdefault(len(t), []).append(k)
+    for n, members in alike.items():
+        step = max(1, SIDE // max(1, n))
+        for a in range(0, len(members), step):
+            group = members[a : a + step]
+            splines = [Spline(*series[k]) for k in group]
+            fits = [s.y.copy() for s in splines] if splines[0].small else _banded(splines, np.array([s.ratio for s in splines]) * 256 ** (3 * np.atleast_1d(spar) - 1))
+            for k, y in zip(group, fits, strict=True):
+                out[k] = y
+    return out
+
+
+def filtered(series: list[np.ndarray], b: np.ndarray, a: np.ndarray, edges: str = "rev", steady: bool = False) -> list[np.ndarray]:
+    """Each series by ``both_ways``; those of one length that are not cut into blocks, with their pads, go side by side."""
+    out: list[np.ndarray] = [None] * len(series)
+    alike: dict[int, list[int]] = {}
+    for k, x in enumerate(series):
+        alike.setdefault(len(x), []).append(k)
+    for n, members in alike.items():
+        step = max(1, SIDE // max(1, n)) if n < LONG // 2 else 1
+        for at in range(0, len(members), step):
+            group = members[at : at + step]
+            if len(group) == 1:
+                out[group[0]] = both_ways(b, a, series[group[0]], edges, steady)
+                continue
+            for k, y in zip(group, both_ways(b, a, np.stack([series[k] for k in group], axis=1), edges, steady).T, strict=True):
+                out[k] = y
+    return out

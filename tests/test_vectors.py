@@ -223,6 +223,48 @@ def test_no_task_holds_a_series_of_tied_rows(spark):
     assert "row_number" not in plan and plan.count("Window [") == 2 and "Aggregate [" in plan
 
 
+def test_kernels_side_by_side_equal_each_alone():
+    rng = np.random.default_rng(3)
+    series = [(np.sort(rng.uniform(0, 9, n)), rng.normal(size=n)) for n in (1, 2, 3, 4, 5, 64, 64, 64, 5, 9000, 3)]
+    for spar in (0.2, 0.6, 1.1):
+        for got, (t, y) in zip(kernels.smoothed(series, spar), series, strict=True):
+            assert np.array_equal(got, kernels.Spline(t, y).fit(spar)[0])
+    b, a = kernels.butterworth(2, (0.1, 0.4), "pass")
+    for edges in filters.EDGES:
+        for steady in (False, True):
+            for got, (_, x) in zip(kernels.filtered([x for _, x in series], b, a, edges, steady), series, strict=True):
+                assert np.array_equal(got, kernels.both_ways(b, a, x, edges, steady))
+
+
+def test_series_are_whole_whatever_the_batches():
+    import pyarrow as pa
+
+    keys = ["a"] * 7 + ["b"] + [None] * 3 + ["c"] * 20 + ["d", "e", "e"]
+    whole = [(k, [i for i, x in enumerate(keys) if x == k]) for k in dict.fromkeys(keys)]
+    for size in (1, 2, 3, 5, 8, 40):
+        batches = [pa.RecordBatch.from_pydict({"series": pa.array(keys[i : i + size], pa.string()), "n": list(range(len(keys)))[i : i + size]}) for i in range(0, len(keys), size)]
+        for rows in (1, 4, 9, 100):
+            got = []
+            for table, edge in filters._whole_series(iter([batches[0].slice(0, 0), *batches]), rows):
+                assert edge[0] == 0 and edge[-1] == len(table)
+                got += [(table["series"][int(i)].as_py(), table["n"][int(i) : int(j)].to_pylist()) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            assert got == whole
+    assert list(filters._whole_series(iter([]), 5)) == []
+
+
+def test_short_series_are_filtered_together(spark):
+    rng = random.Random(4)
+    parts = {f"s{k}": vector(spark, [rng.random() if rng.random() > 0.2 else N for _ in range(3 + 9 * k)]) for k in range(4)}
+    parts["none"] = SignalFrame(parts["s0"].df.selectExpr("series", "_i", "t", "cast(null as double) as x"), parts["s0"].meta, False)
+    both = SignalFrame.union(parts)
+    shuffled = SignalFrame(both.df.repartition(7), both.meta, False)
+    for verb in (lambda f: f.filter(method="spline", spar=0.5, skip_null=True, verbose=False), lambda f: f.filter(method="butterworth", W_=0.3, skip_null=True, verbose=False)):
+        out = verb(shuffled)
+        assert "FlatMapGroups" not in out.df._jdf.queryExecution().optimizedPlan().toString()
+        for name, alone in parts.items():
+            near(out.collect(name)["x"], verb(alone).collect()["x"])
+
+
 def test_conditions(spark):
     with pytest.raises(SignalError, match="window size undefined"):
         filters.moving_average(vector(spark, [1.0, 2.0]))
