@@ -560,10 +560,9 @@ class _Others:
     def without(self, places: list[np.ndarray], slots: list[np.ndarray], out: list[np.ndarray]) -> None:
         """Fills in what is seen at a text's places without the text's own, which is put back."""
         for c, pairs, place, slot, x in zip(self.counts, self.pairs, places, slots, out, strict=True):
-            all_texts = pairs.take(place)
             np.subtract.at(c, slot, U32(1))
-            x[:] = pairs.take(place)
-            pairs[place] = all_texts
+            pairs.take(place, out=x, mode="clip")
+            np.add.at(c, slot, U32(1))
 
 
 def _levels(seen: list[np.ndarray]) -> np.ndarray:

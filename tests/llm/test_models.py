@@ -396,3 +396,19 @@ def test_every_query_runs(spark):
 def test_query(spark, name):
     # The smallest documents hold no secret.
     assert queries.queries()[name](spark, MIDDLE if name.startswith("op6") else SMALL).count() > 0
+
+
+def test_own_counts_are_taken_out_and_put_back():
+    import numpy as np
+
+    from oxyframe.llm import lm_score
+
+    rng = np.random.default_rng(1)
+    places = [rng.integers(0, 50, 400) for _ in range(lm_score.K)]
+    slots = [2 * p + rng.integers(0, 2, 400) for p in places]
+    tables = np.stack([np.bincount(s, minlength=100) + rng.integers(0, 9, 100) for s in slots])
+    others, out = lm_score._Others(tables), [np.empty(400, np.uint64) for _ in slots]
+    others.without(places, slots, out)
+    for t, c, p, s, x in zip(tables, others.counts, places, slots, out, strict=True):
+        left = t - np.bincount(s, minlength=100)
+        assert np.array_equal(c, t) and np.array_equal(x.view(np.uint32).reshape(-1, 2), left.reshape(-1, 2)[p])
