@@ -218,3 +218,16 @@ def test_components_of_few_links_take_few_tasks(spark):
             spark.conf.set(k, v)
     assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     assert len({r.root for r in found.collect()}) == 150 and found.count() == 400
+
+
+def test_salted_join_has_one_long_key(spark):
+    # By several columns a broadcast table takes a page of tens of MB in every executor.
+    large = spark.createDataFrame([(k, n) for n, k in enumerate([1, 1, 1, 2, 3, None])], "k long, n long")
+    few = spark.createDataFrame([(1, 10), (2, 20)], "k long, v long")
+    for how, more in (("inner", []), ("left", [(3, 4, None), (None, 5, None)])):
+        done = near_dedup.salted(large, few.hint("broadcast") if how == "inner" else few, "k", how)
+        assert sorted(map(tuple, done.select("k", "n", "v").collect()), key=lambda r: r[1]) == [(1, 0, 10), (1, 1, 10), (1, 2, 10), (2, 3, 20), *more]
+        by = re.search(r"Join \[([^]]*)\], \[([^]]*)\]", done._jdf.queryExecution().executedPlan().toString())
+        assert by and "," not in by[1] + by[2]
+    paired = near_dedup.salted(large.selectExpr("struct(k, n) d", "n"), few.selectExpr("struct(k, 3L n) d", "v"), "d", "left")
+    assert sorted(map(tuple, paired.select("n", "v").collect())) == [(n, 20 if n == 3 else None) for n in range(6)]
