@@ -56,7 +56,8 @@ WINDOW = 1 << 20
 RATE, MAP_RATE = 0.05, 0.02
 MOST_OWN = 0.5  # how far a text's own weights may go
 RECENT, TRUST = 16, 0.25  # words that the gate looks back on, and how much it makes of a nat
-SLICE = 1 << 18  # bytes of texts whose stream is made, and whose bits are counted, at once: they stay in the cache
+SLICE = 1 << 18  # bytes of texts whose stream is made at once: they stay in the cache
+MERGED = 1 << 21  # bytes whose bits are counted at once: the more, the more of them are alike
 SCORED = 1 << 21  # bytes of texts that are scored at once: the more go side by side, the fewer steps
 SIDE = 1024  # texts side by side at most, as each has its map
 NEAR = 256  # texts whose blocks are scored at once: they stay in the cache
@@ -164,7 +165,7 @@ class Stream:
 
     def __init__(self, low: np.ndarray, off: np.ndarray, ended: np.ndarray, code: Code | None = None, carry: tuple | None = None):
         n = len(off) - 1
-        solid = B.NOT_SPACE[low].astype(bool)
+        solid = B.NOT_SPACE.take(low).astype(bool)
         keep = solid.copy()
         keep[1:] |= solid[:-1]
         begins = off[:-1][off[:-1] < off[1:]]
@@ -180,8 +181,8 @@ class Stream:
         total = _PAD + size + last + ended
         new = np.concatenate(([0], np.cumsum(total)))
         out = np.full(int(new[-1]), 0x20, np.uint8)
-        body = low[place]
-        body[~solid[place]] = 0x20
+        body = low.take(place)
+        body[~solid.take(place)] = 0x20
         out[np.arange(len(place)) + np.repeat(new[:-1] + _PAD - at[:-1], size)] = body
         for k in range(_PAD):
             out[new[:-1] + k] = END if carry is None else carry[0][k]
@@ -196,10 +197,11 @@ class Stream:
         start = np.zeros(m, np.int32)
         start[1:] = (index[:-1] + 1) * stop[:-1]
         np.maximum.accumulate(start, out=start)
+        begun = start.astype(np.intp)
         p, inv = _powers(m + 1)
         h = np.zeros(m + 1, U32)
-        np.cumsum(_BYTE[out] * p[:m], out=h[1:], dtype=U32)
-        prefix = (h[:-1] - h[start]) * inv[start]
+        np.cumsum(_BYTE.take(out) * p[:m], out=h[1:], dtype=U32)
+        prefix = (h[:-1] - h.take(begun)) * inv.take(begun)
         far = index - start
         first = slice(0, 0)
         if carry is not None:
@@ -210,7 +212,7 @@ class Stream:
             prefix[first] = U32(word) + U32(pow(_BASE, length, 1 << 32)) * ((h[:-1][first] - h[_PAD]) * inv[_PAD])
             far[first] = index[first] - _PAD + min(length, 3)
         # What stands before a word is the space after the word before it.
-        before = prefix[np.maximum(start - 1, 0)]
+        before = prefix.take(np.maximum(begun - 1, 0))
         if carry is not None:
             before[first] = word_before
         # Tokens begin after a stop: at a word, or at the end symbol.
@@ -234,7 +236,7 @@ class Stream:
         four = two.copy()
         four[2:] |= two[:-2] << U32(16)
         # A context counts for one code only.
-        which = code.which[two]
+        which = code.which.take(two)
         self.code, self.way = code, which * 256 + out
         own = which.astype(U32) * U32(0x9E3779B1)
         four, prefix, before = four + own, prefix + own, before ^ own
@@ -481,21 +483,37 @@ def _tables(sent):
     def run(batches):
         code = sent.value
         counts = [np.zeros(2 << TABLE_BITS, np.uint32) for _ in range(K)]
-        streams = (x for _, data, off in B.rows_of(batches, SLICE) for x in _streams(LOW[data], off, code))
-        for s in streams:
-            coded = np.flatnonzero(s.coded())
-            way = s.way[coded].astype(np.uint64)
+        held: list[list[np.ndarray]] = [[] for _ in range(K)]
+        size = 0
+
+        def count(s: Stream) -> None:
+            """Bytes alike in place and way are merged before their bits are counted, and counted from the table's start to its end."""
             for k in range(K):
-                # Bytes alike in place and way are merged before their bits are counted, and counted from the table's start to its end.
-                key = np.sort(place(s.context[k][coded]).astype(np.uint64) << B.U(32) | way)
+                key = np.concatenate(held[k])
+                held[k].clear()
+                key.sort()
                 first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 times = np.diff(np.append(first, len(key))).astype(U32)
                 key = key[first]
-                bits = Bits(s, None, (key & B.U(0xFFFFFFFF)).astype(np.intp))
-                slot = bits.near((key >> B.U(32)).astype(np.intp))
-                slot *= 2
-                slot += bits.bit
-                np.add.at(counts[k], slot, times.take(bits.of))
+                for a in range(0, len(key), _PART):
+                    some = key[a : a + _PART]
+                    bits = Bits(s, None, (some & B.U(0xFFFFFFFF)).astype(np.intp))
+                    slot = bits.near((some >> B.U(32)).astype(np.intp))
+                    slot *= 2
+                    slot += bits.bit
+                    np.add.at(counts[k], slot, times[a : a + _PART].take(bits.of))
+
+        for s in (x for _, data, off in B.rows_of(batches, SLICE) for x in _streams(LOW[data], off, code)):
+            coded = np.flatnonzero(s.coded())
+            way = s.way[coded].astype(np.uint64)
+            for k in range(K):
+                held[k].append(place(s.context[k][coded]).astype(np.uint64) << B.U(32) | way)
+            size += len(coded)
+            if size >= MERGED:
+                count(s)
+                size = 0
+        if size:
+            count(s)
         for k in range(K):
             yield _parts(counts[k], k * (len(counts[k]) // (2 * _PART)))
 

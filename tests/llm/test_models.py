@@ -412,3 +412,30 @@ def test_own_counts_are_taken_out_and_put_back():
     for t, c, p, s, x in zip(tables, others.counts, places, slots, out, strict=True):
         left = t - np.bincount(s, minlength=100)
         assert np.array_equal(c, t) and np.array_equal(x.view(np.uint32).reshape(-1, 2), left.reshape(-1, 2)[p])
+
+
+def test_bytes_alike_are_counted_over_many_slices(monkeypatch):
+    texts = [b"the same few words, again and again"] * 4000
+    code = lm_score.Code(texts[:1])
+    batch = lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array([x.decode() for x in texts])], names=["text"])
+    counted = []
+
+    class Seen(lm_score.Bits):
+        def __init__(self, s, pos, way=None):
+            super().__init__(s, pos, way)
+            counted.append(len(self.first))
+
+    monkeypatch.setattr(lm_score, "Bits", Seen)
+
+    def parts(slice_bytes):
+        monkeypatch.setattr(lm_score, "SLICE", slice_bytes)
+        counted.clear()
+        out = lm_score._tables(type("Sent", (), {"value": code}))(iter([batch]))
+        return [list(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in out], sum(counted)
+
+    whole, once = parts(1 << 20)
+    small, n = parts(1 << 12)
+    assert small == whole and n == once <= lm_score.K * (len(texts[0]) + 2)
+    monkeypatch.setattr(lm_score, "MERGED", 1, raising=False)
+    apart, more = parts(1 << 12)
+    assert apart == whole and more > once
