@@ -124,7 +124,7 @@ class Code:
         two_sum = np.bincount(two, n, 1 << 16)
         every = np.bincount(byte, n, 256)
         common = np.flatnonzero(two_sum > max(200, CODE_SHARE * n.sum()))
-        self.which = np.zeros(1 << 16, np.int32)
+        self.which = np.zeros(1 << 16, np.int16)  # at most 257 and 1 / CODE_SHARE tables
         tables = [every]
         order = np.argsort(last, kind="stable")
         ends = np.searchsorted(last[order], np.arange(257))
@@ -138,7 +138,7 @@ class Code:
             own = order[slice(*np.searchsorted(two[order], [pair, pair + 1]))]
             self.which[pair] = len(tables)
             tables.append(np.bincount(byte[own], n[own], 256))
-        start, size, steps = [], [], []
+        start, size, steps, again = [], [], [], []
         at = 0
         for t in tables:
             # A byte not seen here has a way by its share of all bytes.
@@ -148,7 +148,22 @@ class Code:
                 at += len(way)
                 # Of each step: its node (the heaviest are 0 and on), its depth, its bit.
                 steps += [(254 - n) % NODES << 4 | min(d, 7) << 1 | bit for d, (n, bit) in enumerate(way)]
+                again.append(len(way) - len({(254 - n) % NODES for n, _ in way}))
         self.start, self.size, self.step = np.array(start, np.int64), np.array(size, np.int64), np.array(steps, np.uint16)
+        #: Steps of a way that share their node with one before.
+        self.again = np.array(again, np.int64)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes by ``LOW``."""
+    out = (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)
+    out |= data
+    return np.minimum(out, np.uint8(0xFE), out=out)
+
+
+def _solid(low: np.ndarray) -> np.ndarray:
+    """Which bytes are no space, by ``B.NOT_SPACE``."""
+    return (low != 0x20) & (low - np.uint8(9) >= 5)
 
 
 def _span(h: np.ndarray, inv: np.ndarray, a: int, b: int) -> int:
@@ -165,7 +180,7 @@ class Stream:
 
     def __init__(self, low: np.ndarray, off: np.ndarray, ended: np.ndarray, code: Code | None = None, carry: tuple | None = None):
         n = len(off) - 1
-        solid = B.NOT_SPACE.take(low).astype(bool)
+        solid = _solid(low)
         keep = solid.copy()
         keep[1:] |= solid[:-1]
         begins = off[:-1][off[:-1] < off[1:]]
@@ -181,9 +196,13 @@ class Stream:
         total = _PAD + size + last + ended
         new = np.concatenate(([0], np.cumsum(total)))
         out = np.full(int(new[-1]), 0x20, np.uint8)
-        body = low.take(place)
-        body[~solid.take(place)] = 0x20
-        out[np.arange(len(place)) + np.repeat(new[:-1] + _PAD - at[:-1], size)] = body
+        body = np.where(solid, low, np.uint8(0x20))[keep]
+        inner = np.ones(len(out), bool)
+        for k in range(_PAD):
+            inner[new[:-1] + k] = False
+        inner[new[1:][ended > 0] - 1] = False
+        inner[new[1:][last > 0] - 2] = False
+        out[inner] = body
         for k in range(_PAD):
             out[new[:-1] + k] = END if carry is None else carry[0][k]
         out[new[1:][ended > 0] - 1] = END
@@ -237,7 +256,7 @@ class Stream:
         four[2:] |= two[:-2] << U32(16)
         # A context counts for one code only.
         which = code.which.take(two)
-        self.code, self.way = code, which * 256 + out
+        self.code, self.way = code, which.astype(np.int32) * 256 + out
         own = which.astype(U32) * U32(0x9E3779B1)
         four, prefix, before = four + own, prefix + own, before ^ own
         mixed = [(four ^ (four >> U32(15))) * _MUL[0], prefix * _MUL[1], (prefix + before * U32(0x2545F491)) * _MUL[2]]
@@ -277,12 +296,15 @@ class Bits:
     def __init__(self, s: Stream, pos: np.ndarray | None, way: np.ndarray | None = None):
         self.s, self.pos = s, pos
         way = s.way[pos] if way is None else way
-        size = s.code.size[way]
+        size = s.code.size.take(way)
         self.first = np.cumsum(size)
         n = int(self.first[-1]) if len(size) else 0
         self.first -= size
-        self.of = np.repeat(np.arange(len(way)), size)
-        at = (s.code.start[way] - self.first).take(self.of)
+        # Every way has a bit at least, so the first bits are apart.
+        self.of = np.zeros(n, np.intp)
+        self.of[self.first[1:]] = 1
+        np.cumsum(self.of, out=self.of)
+        at = (s.code.start.take(way) - self.first).take(self.of)
         at += np.arange(n)
         step = s.code.step.take(at)
         self.bit = (step & np.uint16(1)).astype(bool)
@@ -389,7 +411,7 @@ class Model:
             np.abs(got, out=got)
             np.subtract(np.float32(1), got, out=got)
             np.log(np.maximum(got, np.float32(1e-9), out=got), out=got)
-            nats[pos] = -np.add.reduceat(got, bits.first)
+            nats[pos] = -np.bincount(bits.of, got)
             wrong = np.subtract(came, p, out=p)
             rate = np.float32(RATE / 16) / np.sqrt(n_bits, dtype=np.float32)
             for k in range(K):
@@ -420,7 +442,7 @@ class Model:
 def windows(low: np.ndarray, code: Code | None, window: int = WINDOW) -> Iterator[Stream]:
     """Streams of one long text whose coded windows, of whole blocks but for the last, join without a seam."""
     carry = None
-    solid = B.NOT_SPACE[low].astype(bool)
+    solid = _solid(low)
     keep = solid.copy()
     keep[1:] |= solid[:-1]
     low = low[keep]
@@ -503,7 +525,7 @@ def _tables(sent):
                     slot += bits.bit
                     np.add.at(counts[k], slot, times[a : a + _PART].take(bits.of))
 
-        for s in (x for _, data, off in B.rows_of(batches, SLICE) for x in _streams(LOW[data], off, code)):
+        for s in (x for _, data, off in B.rows_of(batches, SLICE) for x in _streams(lowered(data), off, code)):
             coded = np.flatnonzero(s.coded())
             way = s.way[coded].astype(np.uint64)
             for k in range(K):
@@ -531,7 +553,7 @@ def _triples(batches):
     """Each task's counts of three bytes on end, in parts."""
     counts = np.zeros(1 << 24, np.uint32)
     for _, data, off in B.rows_of(batches, SLICE):
-        for s in _streams(LOW[data], off, None):
+        for s in _streams(lowered(data), off, None):
             x = s.bytes.astype(np.int64)
             np.add.at(counts, (x[:-2] << 16 | x[1:-1] << 8 | x[2:])[s.coded()[2:]], U32(1))
     yield _parts(counts)
@@ -541,10 +563,10 @@ class Counts:
     """Tables of bit counts, sent as compressed parts and opened once in a process."""
 
     def __init__(self, parts: dict[int, bytes]):
-        self.parts, self.opened = parts, None
+        self.parts, self.opened, self.firm = parts, None, None
 
     def __getstate__(self):
-        return {"parts": self.parts, "opened": None}
+        return {"parts": self.parts, "opened": None, "firm": None}
 
     def tables(self) -> np.ndarray:
         if self.opened is None:
@@ -554,13 +576,23 @@ class Counts:
             self.opened = out.reshape(K, -1)
         return self.opened
 
+    def steady(self) -> list[np.ndarray]:
+        """Of each place its level of log odds and how firm it is (``_steady``)."""
+        if self.firm is None:
+            self.firm = [np.concatenate([_steady(_whole(t[a : a + 2 * _PART])) for a in range(0, len(t), 2 * _PART)]) for t in self.tables()]
+        return self.firm
+
+
+def _whole(t: np.ndarray) -> np.ndarray:
+    # Whole numbers, so that what is put back leaves no trace; above 32 bits one text's own matter no more.
+    return np.minimum(t, 2.0**32 - 256).astype(U32)
+
 
 class _Others:
     """Counts of all texts' bits, from which one text's own can be taken and put back."""
 
     def __init__(self, tables: np.ndarray):
-        # Whole numbers, so that what is put back leaves no trace; above 32 bits one text's own matter no more.
-        self.counts = [np.minimum(t, 2.0**32 - 256).astype(U32) for t in tables]
+        self.counts = [_whole(t) for t in tables]
         self.pairs = [c.view(np.uint64) for c in self.counts]
 
     def less(self, slots: list[np.ndarray]) -> None:
@@ -583,6 +615,14 @@ class _Others:
             np.add.at(c, slot, U32(1))
 
 
+def _level(pairs: np.ndarray) -> np.ndarray:
+    """Levels of log odds, 0 in the middle, by counts of both outcomes."""
+    n = pairs.view(U32).astype(np.float32)
+    x = log_odds(n[::2], n[1::2])
+    x *= STEPS
+    return np.rint(x, out=x)
+
+
 def _levels(seen: list[np.ndarray]) -> np.ndarray:
     """Log odds of bits by counts of both outcomes, as one number of their levels."""
     out = np.empty(len(seen[0]), np.int32)
@@ -590,22 +630,57 @@ def _levels(seen: list[np.ndarray]) -> np.ndarray:
         # The numbers are below 2**24, whole in 32 bits.
         total = np.float32(LEVELS**K // 2)
         for k in range(K):
-            n = seen[k][a : a + _PART].view(U32).astype(np.float32)
-            x = log_odds(n[::2], n[1::2])
-            x *= STEPS
-            np.rint(x, out=x)
+            x = _level(seen[k][a : a + _PART])
             x *= LEVELS**k
             total = np.add(total, x, out=x)
         out[a : a + _PART] = total
     return out
 
 
+#: A level is as firm as the place here of how many of either outcome can go and leave it. Levels take a byte with that.
+_FIRM = np.array([0, 1, 2, 4, 12, 64, 512])
+
+
+def _steady(counts: np.ndarray) -> np.ndarray:
+    """The level that counts of both outcomes have, plus LEVELS times how firm it is, whichever of them go."""
+    level = np.arange(LEVELS) - LEVELS // 2
+    # A margin for how single precision rounds. Log odds end at the first and the last level.
+    up = np.exp(1e-4 - (level + 0.5) / STEPS)
+    down = np.exp(1e-4 + (level - 0.5) / STEPS)
+    up[-1] = down[0] = 0
+    own = (_level(counts.view(np.uint64)) + LEVELS // 2).astype(np.intp)
+    n = counts + 0.4
+    least0, least1 = n[1::2] * up.take(own), n[::2] * down.take(own)
+    # All of an outcome may go if none need stay.
+    least0[least0 <= 0.4] = -np.inf
+    least1[least1 <= 0.4] = -np.inf
+    free = np.minimum(n[::2] - least0, n[1::2] - least1)
+    own += LEVELS * (np.searchsorted(_FIRM[1:], free, "right"))
+    return own.astype(np.uint8)
+
+
+_CLASSES = 1 << 18
+_STEP = 1 << 13  # bytes whose bits are made at once: they stay in the cache
+
+
+def _at_most(places: np.ndarray, text: np.ndarray, again: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """For each byte LEVELS times how firm levels are that its text's counts in its neighbourhood of a table can't change. Texts may share a class."""
+    key = places // NODES
+    key += text
+    key &= _CLASSES - 1
+    n = np.zeros(_CLASSES, U32)
+    np.add.at(n, key, U32(1))
+    np.add.at(n, key.take(more), again)
+    np.minimum(n, U32(_FIRM[-1] + 1), out=n)
+    return (LEVELS * np.searchsorted(_FIRM, np.arange(_FIRM[-1] + 2))).astype(np.uint8).take(n).take(key)
+
+
 def _cells(sent):
     """Each task's counts of bits by gate, levels of log odds and the bit, in parts."""
 
     def run(batches):
         code, counts = sent.value
-        others = _Others(counts.tables())
+        others, steady = _Others(counts.tables()), counts.steady()
         cells = np.zeros(2 * GATES * LEVELS**K, np.int64)
 
         def bits_of(s: Stream) -> tuple[Bits, list[np.ndarray], list[np.ndarray]]:
@@ -617,29 +692,64 @@ def _cells(sent):
                 x += bits.bit
             return bits, places, slots
 
-        def count(bits: Bits, levels: np.ndarray) -> None:
+        def cell(bits: Bits, levels: np.ndarray) -> np.ndarray:
             at = bits.gates()
             at *= LEVELS**K
             at += levels
             at *= 2
             at += bits.bit
+            return at
+
+        def count(s: Stream) -> None:
+            """Counts the bits of whole texts. Where a text's own counts can't change a level they stay in."""
+            pos = np.flatnonzero(s.coded())
+            # Every text has its end symbol at least.
+            begin = np.searchsorted(pos, s.begin)
+            text = np.repeat(np.arange(len(begin)) * 40503, np.diff(np.append(begin, len(pos))))
+            way = s.way.take(pos)
+            again = code.again.take(way)
+            more = np.flatnonzero(again)
+            again = again.take(more).astype(U32)
+            places = [place(c.take(pos)).astype(np.intp) for c in s.context]
+            most = [_at_most(x, text, again, more) for x in places]
+            ends = np.concatenate(([0], np.cumsum(code.size.take(way))))
+            at = np.empty(int(ends[-1]), np.intp)
+            doubt: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(K)]
+            for a in range(0, len(pos), _STEP):
+                b = min(a + _STEP, len(pos))
+                bits = Bits(s, pos[a:b], way[a:b])
+                levels = np.zeros(len(bits.of), np.uint16)  # LEVELS**K is below 2**16
+                for k in range(K):
+                    near = bits.near(places[k][a:b])
+                    x = steady[k].take(near)
+                    i = np.flatnonzero(x < most[k][a:b].take(bits.of))
+                    x -= x // np.uint8(LEVELS) * np.uint8(LEVELS)
+                    near = near.take(i)
+                    doubt[k].append((i + ends[a], near, near * 2 + bits.bit.take(i), x.take(i)))
+                    levels += x * np.uint16(LEVELS**k)
+                at[ends[a] : ends[b]] = cell(bits, levels)
+            bit, near, slots, old = ([np.concatenate(x) for x in of] for of in zip(*(zip(*x, strict=True) for x in doubt), strict=True))
+            seen = [np.empty(len(x), np.uint64) for x in bit]
+            edges = [np.searchsorted(x, ends.take(np.append(begin, len(pos)))).tolist() for x in bit]
+            for i in range(len(begin)):
+                own = [slice(e[i], e[i + 1]) for e in edges]
+                others.without(*([x[o] for x, o in zip(of, own, strict=True)] for of in (near, slots, seen)))
+            for k in range(K):
+                at[bit[k]] += (_level(seen[k]).astype(np.intp) + LEVELS // 2 - old[k]) * (2 * LEVELS**k)
             np.add.at(cells, at, 1)
 
         for _, data, off in B.rows_of(batches, SLICE):
-            low = LOW[data]
+            low = lowered(data)
             if len(off) == 2 and len(low) > WINDOW:
-                for turn in (lambda _, __, x: others.less(x), lambda bits, x, _: count(bits, _levels(others.seen(x))), lambda _, __, x: others.more(x)):
+                for turn in (
+                    lambda _, __, x: others.less(x),
+                    lambda bits, x, _: np.add.at(cells, cell(bits, _levels(others.seen(x))), 1),
+                    lambda _, __, x: others.more(x),
+                ):
                     for s in windows(low, code):
                         turn(*bits_of(s))
-                continue
-            s = Stream(low, off, np.ones(len(off) - 1, np.int64), code)
-            bits, places, slots = bits_of(s)
-            # Every text has its end symbol at least.
-            edge = np.append(bits.first[np.searchsorted(bits.pos, s.begin)], len(bits.of)).tolist()
-            seen = [np.empty(len(bits.of), np.uint64) for _ in range(K)]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                others.without(*([x[a:b] for x in of] for of in (places, slots, seen)))
-            count(bits, _levels(seen))
+            else:
+                count(Stream(low, off, np.ones(len(off) - 1, np.int64), code))
         yield _parts(cells.astype(np.uint32))
 
     return run
@@ -699,7 +809,7 @@ class _Block:
     def rows(self, block: int, ranges: int) -> pa.RecordBatch:
         """The block's own row (dest null), and for each range its distinct words with their count in training texts."""
         count, train = np.concatenate(self.count), np.concatenate(self.train)
-        words, index = np.unique(np.concatenate(self.tok), return_inverse=True)
+        words, index = _distinct(np.concatenate(self.tok))
         learned = np.bincount(index, weights=np.repeat(train, count), minlength=len(words)).astype(np.uint32)
         edge = np.searchsorted(words, (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64))
         edge = np.concatenate(([0], edge, [len(words)]))
@@ -714,6 +824,16 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array(np.full(len(dest), block), pa.int64()), pa.array(body, pa.binary())], names=["dest", "block", "body"])
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like np.unique with the inverse, but only what is distinct is sorted."""
+    coded = pa.array(x).dictionary_encode()
+    words = coded.dictionary.to_numpy()
+    order = np.argsort(words)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return words.take(order), rank.take(coded.indices.to_numpy())
+
+
 _FINE = 1024  # parts of a nat that a token's cost is kept in
 
 
@@ -768,7 +888,7 @@ def _spelled(sent, ranges: int):
         number, block = 0, _Block()
         part = TaskContext.get().partitionId()
         for batch, data, off in B.rows_of(batches, SCORED, "text"):
-            low = LOW[data]
+            low = lowered(data)
             nats = model.token_costs(low, off)
             s, e = B.spans(low, off)
             at = np.searchsorted(s, off)

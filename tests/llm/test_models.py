@@ -439,3 +439,75 @@ def test_bytes_alike_are_counted_over_many_slices(monkeypatch):
     monkeypatch.setattr(lm_score, "MERGED", 1, raising=False)
     apart, more = parts(1 << 12)
     assert apart == whole and more > once
+
+
+def test_levels_stand_while_as_many_go():
+    """What ``_steady`` says can go leaves the level, whichever outcome goes, and no fewer are said than need be."""
+    rng = np.random.default_rng(4)
+    counts = np.concatenate([rng.integers(0, top, (4000, 2)) for top in (2, 6, 40, 3000)] + [[[0, 2**32 - 256], [2**31, 2**31]]]).astype(np.uint32)
+
+    def level(n0, n1):
+        return lm_score._level(np.stack([n0, n1], axis=1).astype(np.uint32).ravel().view(np.uint64)) + lm_score.LEVELS // 2
+
+    got = lm_score._steady(counts.ravel())
+    assert np.array_equal(got % lm_score.LEVELS, level(counts[:, 0], counts[:, 1]))
+    firm = lm_score._FIRM[got // lm_score.LEVELS]
+    n0, n1 = counts.T.astype(np.int64)
+    for part in (0, 0.3, 1):
+        for gone0, gone1 in ((firm, part * firm), (part * firm, firm)):
+            assert np.array_equal(level(np.maximum(n0 - gone0, 0), np.maximum(n1 - gone1, 0)), got % lm_score.LEVELS)
+    assert (firm[-1:] > 0).all() and (firm > 0).mean() > 0.5
+
+
+def test_own_counts_are_taken_out_only_where_they_matter(monkeypatch):
+    """Over large counts few bits have their own text's taken out; all are counted as if each had."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 700, 90, 2000)] + ["ÿ𝄞" * 300]
+    code = lm_score.Code([t.encode() for t in texts])
+    assert max(code.again) > 0
+    tables = lm_score.Counts({})
+    batch = lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array(texts)], names=["text"])
+    own = np.zeros((lm_score.K, 2 << lm_score.TABLE_BITS), np.float32)
+    for t in texts:
+        for bits in _slots(code, t)[1]:
+            for places, _, bit in bits:
+                for k in range(lm_score.K):
+                    own[k, 2 * places[k] + bit] += 1
+    # What other texts have: nothing, or much.
+    for tables.opened, most in ((own, 1.0), (own + rng.integers(0, 20_000, own.shape).astype(np.float32), 0.2)):
+        tables.firm, touched = None, []
+
+        def without(self, places, slots, out, real=lm_score._Others.without, touched=touched):
+            touched.append(sum(map(len, slots)))
+            real(self, places, slots, out)
+
+        monkeypatch.setattr(lm_score._Others, "without", without)
+        (out,) = lm_score._cells(type("Sent", (), {"value": (code, tables)}))(iter([batch]))
+        monkeypatch.undo()
+        got = np.zeros(2 * lm_score.GATES * lm_score.LEVELS**lm_score.K + 2 * lm_score._PART, np.int64)
+        for p, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got[p * 2 * lm_score._PART :][: 2 * lm_score._PART] = np.frombuffer(lm_score.zlib.decompress(b), np.uint32)
+        want, n_bits = np.zeros_like(got), 0
+        others = lm_score._Others(tables.opened)
+        for t in texts:
+            low = lm_score.LOW[np.frombuffer(t.encode(), np.uint8)]
+            s = lm_score.Stream(low, np.array([0, len(low)]), np.ones(1, np.int64), code)
+            bits = lm_score.Bits(s, np.flatnonzero(s.coded()))
+            places = [bits.slots(c[bits.pos]) for c in s.context]
+            slots = [2 * x + bits.bit for x in places]
+            others.less(slots)
+            np.add.at(want, 2 * (bits.gates() * lm_score.LEVELS**lm_score.K + lm_score._levels(others.seen(places))) + bits.bit, 1)
+            others.more(slots)
+            n_bits += len(bits.of)
+        assert np.array_equal(got, want)
+        assert sum(touched) <= most * lm_score.K * n_bits
+
+
+def test_bytes_lowered_and_words_indexed():
+    every = np.arange(256, dtype=np.uint8)
+    assert np.array_equal(lm_score.lowered(every), lm_score.LOW[every])
+    assert np.array_equal(lm_score._solid(every), lm_score.B.NOT_SPACE[every] > 0)
+    x = np.random.default_rng(2).integers(0, 50, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for got, want in zip(lm_score._distinct(x), np.unique(x, return_inverse=True), strict=True):
+        assert np.array_equal(got, want)
